@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, near_dedup, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_systematic_mix": mixing.query,
     "op5_kd_tree_shards": sharding.query,
     "op6_extendible_hash_dedup": exact_dedup.query,
+    "op9_bayes_minhash_dedup": near_dedup.query,
 }
 
 SQL: dict[str, str] = {
