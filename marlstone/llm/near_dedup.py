@@ -257,7 +257,7 @@ def _candidates(members: DataFrame, nodes: DataFrame, bounds: list[int], crossin
     return rows.mapInArrow(_owner(bounds, crossing), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")).select("a", "b")
 
 
-def _sets_of(bits: np.ndarray, log2: int):
+def _sets_of(bits: np.ndarray):
     """A mapInArrow function: digests and shingles of documents in the filter."""
     schema = pa.schema([("digest", pa.binary()), ("shingles", pa.binary())])
 
@@ -266,7 +266,7 @@ def _sets_of(bits: np.ndarray, log2: int):
         for whole in batches:
             if not whole.num_rows:
                 continue
-            hit = bloom.test(bits, [whole.column(f"p{i}").to_numpy() for i in range(4)])
+            hit = bloom.test(bits, whole.column("h").to_numpy())
             chosen = whole.filter(pa.array(hit))
             for batch in slices(iter([chosen]), "text", 4 << 20):
                 sets = [shingles(t, words).tobytes() for t in as_bytes(batch.column("text"))]
@@ -294,10 +294,9 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "digest", "rep"), "nid")
     wanted = staged(wanted, "wanted")
     log2 = bloom.log2_bits(wanted.count())
-    key = F.coalesce(F.col("rep"), F.lit(-(1 << 62)))
-    bits = bloom.build(wanted.select(key.alias("h")), log2)
-    asked = docs.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 62))).alias("h"), "text").select("text", *bloom.probe_columns("h", log2))
-    sets = asked.mapInArrow(_sets_of(bits, log2), "digest binary, shingles binary")
+    bits = bloom.build(wanted.select(F.xxhash64("rep").alias("h")), log2)
+    asked = docs.select("text", F.xxhash64("doc_id").alias("h"))
+    sets = asked.mapInArrow(_sets_of(bits), "digest binary, shingles binary")
     sets = wanted.select("nid", "digest").join(sets, "digest").groupBy("nid").agg(F.first("shingles").alias("shingles"))
     sets = staged(sets, "sets")
     left = sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa"))

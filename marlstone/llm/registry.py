@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, sharding
+from . import exact_dedup, mixing, near_dedup, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_systematic_mix": mixing.query,
     "op5_kd_tree_shards": sharding.query,
     "op6_extendible_hash_dedup": exact_dedup.query,
+    "op8_subword_toxicity": toxicity.query,
     "op9_bayes_minhash_dedup": near_dedup.query,
+    "op10_bloom_cascade": url_filter.query,
 }
 
 SQL: dict[str, str] = {
     "op6_extendible_hash_dedup": exact_dedup.SQL,
+    "op10_bloom_cascade": url_filter.SQL,
 }
