@@ -34,10 +34,10 @@ from .common import as_bytes, prepare, record_batch, slices, table
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 16
 DIM = 8
-WINDOW, STRIDE = 8, 4
+WINDOW, STRIDE = 4, 2
 PER_CLASS = 1500
 LONGEST = 16 << 10
-WARM, ROUNDS, RATE, DECAY = 25, 45, 0.05, 1e-4
+WARM, ROUNDS, RATE, DECAY = 20, 45, 0.05, 1e-5
 FOLDS = 5
 
 _SPACE = np.zeros(256, dtype=bool)
