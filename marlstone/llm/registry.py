@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, sharding, toxicity, url_filter
+from . import exact_dedup, mixing, near_dedup, packing, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_systematic_mix": mixing.query,
+    "op4_monotone_packing": packing.query,
     "op5_kd_tree_shards": sharding.query,
     "op6_extendible_hash_dedup": exact_dedup.query,
     "op8_subword_toxicity": toxicity.query,
