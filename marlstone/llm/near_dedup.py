@@ -9,10 +9,14 @@ Documents are sets of distinct 5-word shingles; two are linked when
    threshold is missed with probability (1 - 0.75**4)**32 = 5e-6).
 3. Owner tasks stream the buckets and compare candidates lane batch by lane
    batch; a pair is dropped once the posterior probability of reaching the
-   threshold falls below ``MISS``.  No pair is emitted that is not needed: the
-   first pass emits for each member its best earlier partner, the second pass
-   only pairs that still lie in different components.
-4. Survivors are verified on their full shingle sets.
+   threshold falls below ``MISS``.  The first pass emits for each member its best
+   partner among the members before it, and those pairs are verified on their
+   full shingle sets and united.
+4. The second pass makes the result whole: in every bucket that still holds
+   several components, each member outside the largest one is compared with all
+   members of other components, and pairs that stay alive are verified on their
+   full sets in the same task.  Only links are emitted, at most one for each two
+   components of a bucket, never all pairs of a group.
 
 A bucket over ``BUCKET`` members is cut by further bands, which keeps the miss
 probability, so a hot band is not compared pair by pair as a whole.
@@ -47,6 +51,7 @@ STEP = 32
 THRESHOLD = 0.75
 MISS = 1e-4
 BUCKET = 4096
+LAGS = 64
 CACHE = 200_000
 
 FEATURES = "doc_id long, th long, n long, digest binary, sig array<long>"
@@ -148,47 +153,98 @@ def _survivors(sig: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray,
     return i, j, agree
 
 
-def _bucket_pairs(rows: dict, bounds: list[int], crossing: bool):
-    """Pairs of nodes of one or more whole buckets, which lie one after another."""
-    nid, sig, sizes, comp = rows["nid"], rows["sig"], rows["n"], rows["comp"]
-    total = len(nid)
-    bucket = np.cumsum(np.concatenate([[True], rows["bucket"][1:] != rows["bucket"][:-1]]))
+def _runs(bucket: np.ndarray) -> np.ndarray:
+    """Numbers of the buckets, which lie one after another."""
+    return np.cumsum(np.concatenate([[True], bucket[1:] != bucket[:-1]])) - 1
+
+
+def _best_partners(rows: dict, bounds: list[int]) -> dict:
+    """For each member its best partner among the LAGS members before it."""
+    run, total = _runs(rows["bucket"]), len(rows["nid"])
     best = np.full(total, -1, dtype=np.int32)
     partner = np.zeros(total, dtype=np.int64)
-    found_a, found_b = [], []
-    lag = 0
     at = np.arange(total)
-    while len(at):
-        lag += 1
+    for lag in range(1, LAGS + 1):
         at = at[at + lag < total]
-        at = at[bucket[at + lag] == bucket[at]]
+        at = at[run[at + lag] == run[at]]
         for chunk in np.array_split(at, max(1, len(at) >> 14)):
-            pairs = chunk[comp[chunk] != comp[chunk + lag]] if crossing else chunk
-            i, j, agree = _survivors(sig, sizes, pairs, pairs + lag, bounds)
-            if crossing:
-                found_a.append(nid[i])
-                found_b.append(nid[j])
-            else:
-                better = agree > best[j]
-                best[j[better]], partner[j[better]] = agree[better], i[better]
-    if crossing:
-        a, b = np.concatenate([*found_a, nid[:0]]), np.concatenate([*found_b, nid[:0]])
-    else:
-        has = np.nonzero(best >= 0)[0]
-        a, b = nid[partner[has]], nid[has]
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    both = np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.empty((0, 2), np.int64)
-    return both[:, 0], both[:, 1]
-
-
-def _owner(bounds: list[int], crossing: bool):
-    """A mapInArrow function over bucket members sorted by bucket."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+            i, j, agree = _survivors(rows["sig"], rows["n"], chunk, chunk + lag, bounds)
+            better = agree > best[j]
+            best[j[better]], partner[j[better]] = agree[better], i[better]
+    has = np.nonzero(best >= 0)[0]
+    a, b = rows["nid"][partner[has]], rows["nid"][has]
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return {"a": both[:, 0], "b": both[:, 1]}
+
+
+def _crossing(rows: dict, lo: int, hi: int, comp: np.ndarray, bounds: list[int]):
+    """For each stray of the bucket lo..hi its live partners in other components.
+
+    Strays are the members outside the bucket's largest component, so the work
+    is strays times members.  A pair is only met in the first band it shares.
+    ``comp`` may change between the steps: united members are not met again.
+    """
+    values, counts = np.unique(comp[lo:hi], return_counts=True)
+    major = values[counts.argmax()]
+    sig, first_band = rows["sig"], rows["sig"].view(np.int64)
+    band = int(rows["bucket"][lo]["x"])
+    every = np.arange(lo, hi)
+    for i in every[comp[lo:hi] != major]:
+        other = every[(comp[lo:hi] != comp[i]) & ((every > i) | (comp[lo:hi] == major))]
+        for j in np.array_split(other, max(1, len(other) >> 14)):
+            if band < BANDS and len(j):
+                j = j[(first_band[j] == first_band[i]).argmax(axis=1) == band]
+            _, j, agree = _survivors(sig, rows["n"], np.full(len(j), i), j, bounds)
+            if len(j):
+                yield i, j[np.argsort(-agree, kind="stable")], major
+
+
+def _open_members(rows: dict, bounds: list[int]) -> dict:
+    """The members that have a live partner in another component."""
+    cuts = np.concatenate([np.nonzero(np.diff(_runs(rows["bucket"]), prepend=-1))[0], [len(rows["nid"])]])
+    needed = np.zeros(len(rows["nid"]), dtype=bool)
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        for i, j, _ in _crossing(rows, lo, hi, rows["comp"], bounds):
+            needed[i] = True
+            needed[j] = True
+    return {"band": rows["bucket"]["x"][needed], "key": rows["bucket"]["y"][needed], "nid": rows["nid"][needed]}
+
+
+def _linked(rows: dict, bounds: list[int]) -> dict:
+    """Links between components, verified on the full sets."""
+    cuts = np.concatenate([np.nonzero(np.diff(_runs(rows["bucket"]), prepend=-1))[0], [len(rows["nid"])]])
+    comp, sets, sizes = rows["comp"].copy(), rows["sets"], rows["n"]
+    a, b = [], []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        for i, js, major in _crossing(rows, lo, hi, comp, bounds):
+            mine = np.frombuffer(sets[i], np.uint64)
+            for j in js:
+                if comp[j] == comp[i]:
+                    continue
+                theirs = np.frombuffer(sets[j], np.uint64)
+                at = np.searchsorted(mine, theirs)
+                at[at == len(mine)] = 0
+                both = int(np.count_nonzero(mine[at] == theirs))
+                if 100 * both >= 75 * (sizes[i] + sizes[j] - both):
+                    a.append(rows["nid"][i])
+                    b.append(rows["nid"][j])
+                    # the label of the largest component must stay
+                    old, new = (comp[i], comp[j]) if comp[j] == major else (comp[j], comp[i])
+                    united = comp[lo:hi]
+                    united[united == old] = new
+    return {"a": a, "b": b}
+
+
+def _owner(work, schema: pa.Schema):
+    """A mapInArrow function that hands whole buckets to ``work``.
+
+    Its input is sorted by bucket; a bucket that may go on in the next batch is
+    held back.
+    """
 
     def emit(parts: list[dict]) -> pa.RecordBatch:
         rows = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-        a, b = _bucket_pairs(rows, bounds, crossing)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+        return record_batch(work(rows), schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -197,19 +253,20 @@ def _owner(bounds: list[int], crossing: bool):
             if not batch.num_rows:
                 continue
             flat = batch.column("sig").flatten().to_numpy()
+            both = np.stack([batch.column("band").to_numpy(), batch.column("key").to_numpy()], axis=1)
             part = {
-                "bucket": np.ascontiguousarray(
-                    np.stack([batch.column("band").to_numpy(), batch.column("key").to_numpy()], axis=1)
-                ).view([("x", np.int64), ("y", np.int64)])[:, 0],
+                "bucket": np.ascontiguousarray(both).view([("x", np.int64), ("y", np.int64)])[:, 0],
                 "sig": flat.view(np.uint16).reshape(batch.num_rows, LANES),
                 **{c: batch.column(c).to_numpy() for c in ("nid", "n", "comp")},
             }
+            if "sets" in batch.schema.names:
+                part["sets"] = np.array([*as_bytes(batch.column("sets")), None], dtype=object)[:-1]
             last = part["bucket"][-1]
-            # hold back the bucket that may go on in the next batch
-            cut = batch.num_rows if held and part["bucket"][0] == held[-1]["bucket"][-1] == last else int(np.argmax(part["bucket"] == last))
+            going_on = held and part["bucket"][0] == held[-1]["bucket"][-1] == last
+            cut = batch.num_rows if going_on else int(np.argmax(part["bucket"] == last))
             if cut < batch.num_rows:
                 ended = held + ([{k: v[:cut] for k, v in part.items()}] if cut else [])
-                if ended and (count + cut >= 4096 or len(ended) > 16):
+                if ended and (count + cut >= 4096 or len(ended) > 8):
                     yield emit(ended)
                     held, count = [], 0
                     part = {k: v[cut:] for k, v in part.items()}
@@ -221,6 +278,10 @@ def _owner(bounds: list[int], crossing: bool):
     return run
 
 
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+MEMBER = pa.schema([("band", pa.int64()), ("key", pa.int64()), ("nid", pa.int64())])
+
+
 def band_members(nodes: DataFrame, limit: int = BUCKET, most: int = 3) -> DataFrame:
     """(band, key, nid) of nodes in buckets with at least two members.
 
@@ -247,14 +308,10 @@ def band_members(nodes: DataFrame, limit: int = BUCKET, most: int = 3) -> DataFr
     return done
 
 
-def _candidates(members: DataFrame, nodes: DataFrame, bounds: list[int], crossing: bool) -> DataFrame:
-    rows = (
-        members.join(nodes.select("nid", "n", "sig"), "nid")
-        .select("band", "key", "nid", "n", "comp", "sig")
-        .repartition("band", "key")
-        .sortWithinPartitions("band", "key", "nid")
-    )
-    return rows.mapInArrow(_owner(bounds, crossing), "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands")).select("a", "b")
+def _in_buckets(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members (band, key, nid, comp and more) with their signatures, by bucket."""
+    rows = members.join(nodes.select("nid", "n", "sig"), "nid").repartition("band", "key")
+    return rows.sortWithinPartitions("band", "key", "nid")
 
 
 def _sets_of(bits: np.ndarray):
@@ -285,20 +342,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that hold on full shingle sets.
+def _shingle_sets(docs: DataFrame, nodes: DataFrame, nids: DataFrame) -> DataFrame:
+    """(nid, shingles) of some nodes.
 
     Only documents that pass a Bloom filter of the ids asked for (8 MB at most)
     are shingled again, so their texts are never shuffled.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "digest", "rep"), "nid")
-    wanted = staged(wanted, "wanted")
-    log2 = bloom.log2_bits(wanted.count())
-    bits = bloom.build(wanted.select(F.xxhash64("rep").alias("h")), log2)
+    wanted = staged(nids.select("nid").distinct().join(nodes.select("nid", "digest", "rep"), "nid"), "wanted")
+    bits = bloom.build(wanted.select(F.xxhash64("rep").alias("h")), bloom.log2_bits(wanted.count()))
     asked = docs.select("text", F.xxhash64("doc_id").alias("h"))
     sets = asked.mapInArrow(_sets_of(bits), "digest binary, shingles binary")
     sets = wanted.select("nid", "digest").join(sets, "digest").groupBy("nid").agg(F.first("shingles").alias("shingles"))
-    sets = staged(sets, "sets")
+    return staged(sets, "sets")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that hold on full shingle sets."""
+    sets = _shingle_sets(docs, nodes, pairs.select(F.explode(F.array("a", "b")).alias("nid")))
     left = sets.select(F.col("nid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("nid").alias("b"), F.col("shingles").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
@@ -314,8 +374,9 @@ def clusters(docs: DataFrame, limit: int = BUCKET, miss: float = MISS) -> DataFr
     bounds = least_agreement(miss)
     members = staged(band_members(nodes, limit), "members")
 
-    first = staged(_candidates(members.withColumn("comp", F.col("nid")), nodes, bounds, False), "pairs")
-    edges = staged(_verified(docs, nodes, first), "edges")
+    grouped = _in_buckets(members.withColumn("comp", F.col("nid")), nodes)
+    first = grouped.mapInArrow(_owner(lambda rows: _best_partners(rows, bounds), PAIR), "a long, b long").distinct()
+    edges = staged(_verified(docs, nodes, staged(first, "pairs")), "edges")
     roots = components(edges)
 
     label = members.join(roots, F.col("nid") == F.col("node"), "left").select(
@@ -323,9 +384,12 @@ def clusters(docs: DataFrame, limit: int = BUCKET, miss: float = MISS) -> DataFr
     )
     label = staged(label, "labelled")
     mixed = label.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("band", "key")
-    rest = _candidates(label.join(mixed, ["band", "key"], "left_semi"), nodes, bounds, True)
-    second = staged(rest.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = staged(_verified(docs, nodes, second), "edges")
+    grouped = _in_buckets(label.join(mixed, ["band", "key"], "left_semi"), nodes)
+    opened = grouped.mapInArrow(_owner(lambda rows: _open_members(rows, bounds), MEMBER), "band long, key long, nid long")
+    opened = staged(opened, "open")
+    sets = _shingle_sets(docs, nodes, opened).withColumnRenamed("shingles", "sets")
+    grouped = _in_buckets(opened.join(label, ["band", "key", "nid"]).join(sets, "nid"), nodes)
+    more = staged(grouped.mapInArrow(_owner(lambda rows: _linked(rows, bounds), PAIR), "a long, b long"), "edges")
     roots = components(edges.union(more))
 
     nodes = nodes.join(roots, F.col("nid") == F.col("node"), "left").select(
