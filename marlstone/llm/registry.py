@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, near_dedup, packing, sharding, toxicity, url_filter
+from . import exact_dedup, mixing, mpegts, near_dedup, packing, sharding, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mpeg_ts": mpegts.query,
     "op2_systematic_mix": mixing.query,
+    "op3_warc_chain": warc.query,
     "op4_monotone_packing": packing.query,
     "op5_kd_tree_shards": sharding.query,
     "op6_extendible_hash_dedup": exact_dedup.query,
@@ -19,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_warc_chain": warc.SQL,
     "op6_extendible_hash_dedup": exact_dedup.SQL,
     "op10_bloom_cascade": url_filter.SQL,
 }

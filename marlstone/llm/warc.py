@@ -132,11 +132,19 @@ def _parsed(value: str = "value") -> list[Column]:
     return [
         F.octet_length(value).cast("long").alias("length"),
         F.substring_index(value, BREAK, 1).alias("head"),
+        _stated(value),
         first.alias("head_bytes"),
         second.alias("http_bytes"),
     ]
 
 
+def _stated(value: str) -> Column:
+    """The length in the HTTP header that follows a record's header."""
+    http = F.substring_index(F.substring_index(value, BREAK, 2), BREAK, -1)
+    length = F.regexp_extract(http, r"(?mi)^Content-Length: (\d{1,18})\r?$", 1)
+    return F.when(length != "", length).cast("long").alias("stated")
+
+
 def _payload(value: str = "value") -> Column:
     size = F.col("head_bytes") + len(BREAK) + F.col("content") - F.col("http_bytes") - len(BREAK)
     return F.substring(F.col(value).cast("binary"), F.col("http_bytes") + len(BREAK) + 1, size.cast("int"))
@@ -179,30 +187,31 @@ def reachable_entries(candidates: DataFrame, most: int = 40) -> DataFrame:
     starts = candidates.filter("offset = 0").select("file", "offset")
     jump = candidates.join(exits.union(starts).distinct(), ["file", "offset"]).select("file", F.col("offset").alias("at"), F.col("leave").alias("to"))
     jump = staged(jump, "warc-jumps")
+    entries = jump.select("file", "at")
     reach = jump.filter("at = 0").select("file", "at")
     known = reach.count()
     for _ in range(most):
-        landed = reach.join(jump, ["file", "at"]).select("file", F.col("to").alias("at")).join(jump, ["file", "at"], "left_semi")
+        landed = reach.join(jump, ["file", "at"]).select("file", F.col("to").alias("at")).join(entries, ["file", "at"], "left_semi")
         reach = staged(reach.union(landed).distinct(), "warc-reach")
         now = reach.count()
         if now == known:
             break
         known = now
-        onward = jump.select("file", F.col("at").alias("mid"), F.col("to").alias("far"))
-        jump = jump.join(onward, (jump["file"] == onward["file"]) & (jump["to"] == onward["mid"])).select(jump["file"], "at", F.col("far").alias("to"))
+        onward = jump.select("file", F.col("at").alias("to"), F.col("to").alias("far"))
+        jump = jump.join(onward, ["file", "to"]).select("file", "at", F.col("far").alias("to"))
         jump = staged(jump, "warc-jumps")
     return reach
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Reachable records: file, offset, head, type, payload_bytes, payload_digest."""
+    """Reachable records: file, offset, head, type and what their payloads hold."""
     prepare(spark)
     whole = F.col("head_bytes") + len(BREAK) + F.col("content") <= F.col("length")
     content = F.when(_field("Content-Length", r"(\d{1,18})") != "", _field("Content-Length", r"(\d{1,18})").cast("long")).otherwise(F.lit(-1))
     pieces = _pieces(spark, path).select("*", *_parsed()).withColumn("content", content)
     good = whole & (F.col("content") >= F.col("http_bytes") - F.col("head_bytes"))
     pieces = pieces.select(
-        "file", "block", "seq", "length", "head", "head_bytes", "content",
+        "file", "block", "seq", "length", "head", "head_bytes", "content", "stated",
         F.when(good, F.octet_length(_payload())).alias("bytes"),
         F.when(good, base32_sha1(_payload())).alias("digest"),
     )
@@ -225,7 +234,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     records = placed.filter("reached").join(pieces, ["file", "block", "seq"])
     cut = staged(records.filter("digest IS NULL").select("file", "offset"), "warc-cut")
-    done = records.filter("digest IS NOT NULL").select("file", "offset", "head", "bytes", "digest")
+    done = records.filter("digest IS NOT NULL").select("file", "offset", "head", "stated", "bytes", "digest")
     if cut.limit(1).count():
         done = done.union(_mended(spark, path, placed, cut))
     return done.select(
@@ -235,6 +244,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         _field("WARC-Type", r"(\w+)").alias("type"),
         F.col("bytes").cast("long").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
+        F.col("stated").alias("stated_bytes"),
     )
 
 
@@ -259,24 +269,30 @@ def _mended(spark: SparkSession, path: str, placed: DataFrame, cut: DataFrame) -
     value = F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC)
     parsed = joined.select("file", F.col("of").alias("offset"), value.alias("value")).select("*", *_parsed())
     parsed = parsed.withColumn("content", _field("Content-Length", r"(\d{1,18})").cast("long"))
-    return parsed.select("file", "offset", "head", F.octet_length(_payload()).alias("bytes"), base32_sha1(_payload()).alias("digest"))
+    return parsed.select("file", "offset", "head", "stated", F.octet_length(_payload()).alias("bytes"), base32_sha1(_payload()).alias("digest"))
 
 
 def described(records: DataFrame) -> DataFrame:
-    """The records of ``write_archives`` as rows of pages."""
+    """The records of ``write_archives`` as rows, with the page they refer to."""
     number = lambda text: F.when(text.isin("", "null"), F.lit(None)).otherwise(text).cast("long")
     revisit = F.col("type") == "revisit"
-    http = F.regexp_extract("http", r"(?m)^Content-Length: (\d+)\r?$", 1)
-    return records.withColumn("http", F.col("head")).select(
+    stated = _field("WARC-Payload-Digest", r"sha1:(\w+)")
+    return records.select(
         number(_field("WARC-Record-ID", r"<urn:page:([^>]*)>")).alias("page_id"),
-        "payload_bytes",
-        "payload_digest",
+        # a revisit holds the HTTP header of the payload that it leaves out
+        F.when(revisit, F.col("stated_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, stated).otherwise(F.col("payload_digest")).alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.when(revisit, number(_field("WARC-Refers-To", r"<urn:page:([^>]*)>"))).alias("refers_to"),
-        _field("WARC-Payload-Digest", r"sha1:(\w+)").alias("stated_digest"),
     )
 
 
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(prepare(spark), "warc")
+    write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    return described(read_archives(spark, path))
+
+
 SQL = r"""
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html FROM pages
@@ -286,7 +302,7 @@ WITH p AS (
   FROM p
 )
 SELECT page_id, payload_bytes,
-       array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          CAST((CAST('0x' || substr(hex, CAST(i // 8 * 10 + 1 AS BIGINT), 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
        CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id IS NOT DISTINCT FROM last THEN NULL ELSE last END AS refers_to
