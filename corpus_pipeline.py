@@ -1,18 +1,51 @@
-"""A corpus pipeline built from the llm operators."""
+"""A corpus pipeline: five stages, each on all that the one before it kept.
+
+1. toxicity: documents that score one half or more go;
+2. exact dedup: one row of each group of equal texts stays;
+3. MinHash near-dedup: one document of each linked group stays;
+4. mixing: sources are sampled to their target weights, so rows may repeat;
+5. packing: the pieces of all rows in sequences of at most 2048 tokens.
+
+All but the last stage return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import exact_dedup, mixing
+from marlstone.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from marlstone.llm.common import staged, table
 
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicated(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicated(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs, packing.tokenizer_path())
+
+
 STAGES = [
-    ("exact dedup", lambda spark, docs, sf_dir: exact_dedup.deduplicated(docs)),
-    ("mixing", lambda spark, docs, sf_dir: mixing.mixed(docs)),
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack),
 ]
 
-#: Not expressible in SQL: the stages train a classifier and sample.
+#: SQL can express neither the trained classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
