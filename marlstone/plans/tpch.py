@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from .registry import query
 
 _c = F.col
-_REVENUE = _c("l_extendedprice") * (1 - _c("l_discount"))
 _REV = "l_extendedprice * (1 - l_discount)"
 
 
+def _revenue():
+    return _c("l_extendedprice") * (1 - _c("l_discount"))
+
+
 def _day(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
@@ -33,8 +36,8 @@ def tpch_q1(t):
         .agg(
             _money(_c("l_quantity"), "sum_qty"),
             _money(_c("l_extendedprice"), "sum_base_price"),
-            _money(_REVENUE, "sum_disc_price"),
-            _money(_REVENUE * (1 + _c("l_tax")), "sum_charge"),
+            _money(_revenue(), "sum_disc_price"),
+            _money(_revenue() * (1 + _c("l_tax")), "sum_charge"),
             F.round(F.avg("l_quantity"), 4).alias("avg_qty"),
             F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
             F.round(F.avg("l_discount"), 6).alias("avg_disc"),
@@ -53,7 +56,7 @@ def tpch_q3(t):
     building = t.customer.filter("c_mktsegment = 'BUILDING'")
     lines = t.lineitem.filter(_c("l_shipdate") > _day("1997-03-15"))
     joined = orders.join(building, _c("o_custkey") == _c("c_custkey")).join(lines, _c("l_orderkey") == _c("o_orderkey"))
-    return joined.groupBy("o_orderkey", "o_orderdate").agg(_money(_REVENUE, "revenue")).orderBy(F.desc("revenue"), "o_orderkey").limit(10)
+    return joined.groupBy("o_orderkey", "o_orderdate").agg(_money(_revenue(), "revenue")).orderBy(F.desc("revenue"), "o_orderkey").limit(10)
 
 
 @query(
@@ -80,7 +83,7 @@ def tpch_q5(t):
         .join(supply, _c("l_suppkey") == _c("s_suppkey"))
         .join(t.customer, (_c("o_custkey") == _c("c_custkey")) & (_c("c_nationkey") == _c("s_nationkey")))
     )
-    return joined.groupBy("n_name").agg(_money(_REVENUE, "revenue"))
+    return joined.groupBy("n_name").agg(_money(_revenue(), "revenue"))
 
 
 @query(
@@ -108,7 +111,7 @@ def tpch_q7(t):
         .join(t.orders, _c("o_orderkey") == _c("l_orderkey"))
         .join(buyers, (_c("o_custkey") == _c("c_custkey")) & (_c("supp_nation") != _c("cust_nation")))
     )
-    return joined.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").cast("long").alias("l_year")).agg(_money(_REVENUE, "revenue"))
+    return joined.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").cast("long").alias("l_year")).agg(_money(_revenue(), "revenue"))
 
 
 @query(
@@ -126,8 +129,8 @@ def tpch_q8(t):
         .join(t.customer.join(region, _c("c_nationkey") == _c("in_region")), _c("o_custkey") == _c("c_custkey"))
         .join(t.supplier.join(seller, _c("s_nationkey") == _c("sold_by")), _c("l_suppkey") == _c("s_suppkey"))
     )
-    own = F.sum(F.when(_c("seller") == "NATION_5", _REVENUE).otherwise(F.lit(0.0)))
-    return joined.groupBy(F.year("o_orderdate").cast("long").alias("o_year")).agg(F.round(own / F.sum(_REVENUE), 6).alias("mkt_share"))
+    own = F.sum(F.when(_c("seller") == "NATION_5", _revenue()).otherwise(F.lit(0.0)))
+    return joined.groupBy(F.year("o_orderdate").cast("long").alias("o_year")).agg(F.round(own / F.sum(_revenue()), 6).alias("mkt_share"))
 
 
 @query(
@@ -144,7 +147,7 @@ def tpch_q10(t):
         .join(t.customer, _c("o_custkey") == _c("c_custkey"))
         .join(t.nation, _c("c_nationkey") == _c("n_nationkey"))
     )
-    return joined.groupBy("c_custkey", "c_name", "c_acctbal", "n_name").agg(_money(_REVENUE, "revenue")).orderBy(F.desc("revenue"), "c_custkey").limit(20)
+    return joined.groupBy("c_custkey", "c_name", "c_acctbal", "n_name").agg(_money(_revenue(), "revenue")).orderBy(F.desc("revenue"), "c_custkey").limit(20)
 
 
 @query(
@@ -171,8 +174,8 @@ def tpch_q13(t):
 )
 def tpch_q14(t):
     season = t.lineitem.filter((_c("l_shipdate") >= _day("1997-09-01")) & (_c("l_shipdate") < _day("1997-12-01")))
-    promo = F.sum(F.when(_c("p_type").startswith("PROMO"), _REVENUE).otherwise(F.lit(0.0)))
-    return season.join(t.part, _c("l_partkey") == _c("p_partkey")).agg(F.round(100 * promo / F.sum(_REVENUE), 6).alias("promo_revenue"))
+    promo = F.sum(F.when(_c("p_type").startswith("PROMO"), _revenue()).otherwise(F.lit(0.0)))
+    return season.join(t.part, _c("l_partkey") == _c("p_partkey")).agg(F.round(100 * promo / F.sum(_revenue()), 6).alias("promo_revenue"))
 
 
 @query(
@@ -181,7 +184,7 @@ def tpch_q14(t):
 )
 def tpch_q15(t):
     quarter = t.lineitem.filter((_c("l_shipdate") >= _day("1997-01-01")) & (_c("l_shipdate") < _day("1997-04-01")))
-    revenue = quarter.groupBy("l_suppkey").agg(_money(_REVENUE, "total_revenue"))
+    revenue = quarter.groupBy("l_suppkey").agg(_money(_revenue(), "total_revenue"))
     best = revenue.agg(F.max("total_revenue").alias("best"))
     top = revenue.join(best, _c("total_revenue") == _c("best"))
     return t.supplier.join(top, _c("s_suppkey") == _c("l_suppkey")).select("s_suppkey", "s_name", "total_revenue")
@@ -217,7 +220,7 @@ def tpch_q19(t):
     wanted = F.lit(False)
     for brand, low, size in (("Brand#12", 1, 5), ("Brand#23", 10, 10), ("Brand#2", 20, 15)):
         wanted |= (_c("p_brand") == brand) & _c("l_quantity").between(low, low + 10) & _c("p_size").between(1, size)
-    return t.lineitem.join(t.part, (_c("l_partkey") == _c("p_partkey")) & wanted).agg(_money(_REVENUE, "revenue"))
+    return t.lineitem.join(t.part, (_c("l_partkey") == _c("p_partkey")) & wanted).agg(_money(_revenue(), "revenue"))
 
 
 @query(
