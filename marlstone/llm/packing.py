@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ LENGTH = 2048
 CLOSE = 1
 SENTENCE, HARD, HARD_EVERY = 2, 10, 24
 SEGMENT = 1 << 19
-WORDS = 150_000
+WORDS = 600_000
 TOKENIZER = "word_bpe_49k.json"
 #: The top bit of a cached id says that a sentence ends with its word.
 END = 1 << 31
@@ -68,12 +69,12 @@ def _byte_letters() -> dict[int, str]:
 class Words(dict):
     """Ids of words as little-endian bytes, in a bounded cache.
 
-    Words of Latin-1 letters, with one mark at their end at most, go straight to
-    the tokenizer's BPE model; all others go through the whole tokenizer.  When
+    Words of Latin-1 letters, with ASCII marks at their end at most, go straight
+    to the tokenizer's BPE model; all others go through the whole tokenizer.  When
     the cache is full the words of the older half are dropped.
     """
 
-    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
+    PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\\[-`{-~]*)")
 
     def __init__(self, path: str):
         super().__init__()
@@ -83,28 +84,53 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
+        self.plain = self.PLAIN.fullmatch
         self.old: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         value = self.old.get(word)
         if value is None:
-            ids = self.ids(word.decode("utf-8", "replace"))
-            if ids and word.endswith(ENDERS):
-                ids[-1] |= END
-            value = b"".join([i.to_bytes(4, "little") for i in ids])
+            value = self.packed(word)
         if len(self) >= WORDS:
             self.old = dict(self)
             self.clear()
+            self.stems.clear()
         self[word] = value
         return value
 
-    def ids(self, word: str) -> list[int]:
-        plain = self.PLAIN.fullmatch(word)
+    def packed(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        plain = self.plain(text)
         if not plain:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            if ids and word.endswith(ENDERS):
+                ids[-1] |= END
+            return pack(ids)
         stem, mark = plain.groups()
-        ids = [t.id for t in self.model(stem.lower().translate(self.letters))]
-        return ids + [t.id for t in self.model(mark)] if mark else ids
+        value = self.stems.get(stem)
+        if value is None:
+            # the same letters in another case have the same ids
+            small = stem.lower()
+            value = self.stems[stem] = pack([t.id for t in self.model(small.translate(self.letters))])
+        if mark:
+            end = self.marks.get(mark)
+            if end is None:
+                ids = [t.id for t in self.model(mark)]
+                ids[-1] |= END * mark.encode().endswith(ENDERS)
+                end = pack(ids)
+                if len(self.marks) < 10_000:
+                    self.marks[mark] = end
+            value += end
+        return value
+
+
+def pack(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 class Encoder:
