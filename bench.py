@@ -19,6 +19,10 @@ from marlstone.session import build_session  # noqa: E402
 
 HEADLINE = [
     *(f"tpch_q{n}" for n in (1, 3, 4, 5, 6, 7, 8, 10, 12, 13, 14, 15, 17, 18, 19, 21, 22)),
+    "report_month_deviation",
+    "report_cumulative_lead",
+    "report_rollup_rank",
+    "report_return_ratio",
     "agg_cube",
     "agg_distinct",
     "agg_percentiles",

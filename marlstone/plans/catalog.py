@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, functions, joins, relational, stats, streams, tpch, windows  # noqa: F401
+from . import aggregates, functions, joins, relational, reports, stats, streams, tpch, userfns, windows  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]
