@@ -6,7 +6,8 @@ classes by exchange: first the CORE most frequent ones, moved one by one to the
 class that raises the likelihood of the class bigrams most, then all units at
 once from the classes of their neighbours in the whole corpus, SWEEPS times.
 A text scores by class trigrams, smoothed towards bigrams and unigrams, times
-the emission of each word from its class, smoothed with one unseen word a class.
+the emission of each word from its class, smoothed with one unseen word a class,
+mixed with the word's unigram.
 
 Counts cover all training documents.  Word counts stay distributed: only the
 HEAD most frequent words (at most WORD_BYTES long) go to every task, which is a
@@ -42,6 +43,8 @@ CORE, CLASSES = 1024, 48
 EXCHANGES, SWEEPS = 8, 2
 ADD = 0.1
 PRIOR = 20.0
+#: Weight of the unigram in the mixture.
+MIX = 0.15
 #: The end of a text; no word holds a space.
 END = b" "
 END_UNIT = UNITS + SHAPES
@@ -93,8 +96,22 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame) -> Lexicon:
+    """At most HEAD of the most frequent words.
+
+    Where to cut is read from a histogram of counts (16 steps to each doubling,
+    each dealt into 64 by hash), so tasks send neither candidates nor words that
+    are not taken, however many there are.
+    """
     rows = counts.filter(F.octet_length("word") <= WORD_BYTES).filter(F.col("word") != F.lit(END))
-    top = rows.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    step = F.floor(F.log2("n") * 16) * 64 + F.xxhash64("word").bitwiseAND(F.lit(63))
+    rows = rows.withColumn("step", step.cast("long"))
+    room, cut = HEAD, None
+    for r in sorted(rows.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        room -= r.n
+        if room < 0:
+            break
+        cut = r.step
+    top = rows.filter(F.col("step") >= cut if cut is not None else F.lit(False)).select("word", "n").toArrow()
     words, n = as_bytes(top.column("word").combine_chunks()), top.column("n").to_numpy().astype(np.float64)
     order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
     words = [words[i] for i in order]
@@ -338,17 +355,24 @@ def classes(rows: DataFrame, tokens: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Classes of units, log10 transitions [c2, c1, c], log10 of emission sums."""
+    """Classes of units, transitions [c2, c1, c], sums of emission, of unigrams.
+
+    The probability of a word is a mixture of that of its class times its
+    emission and of its unigram.  Both have the word's smoothed count as their
+    numerator, so a text is scored from classes and the counts are added apart.
+    """
 
     of: np.ndarray
     follow: np.ndarray
     emit: np.ndarray
+    unigram: float
 
     def score(self, units: np.ndarray) -> float:
         """log10 probability of a text, without the counts of its words."""
         c = self.of[units]
         past = np.concatenate([[END_CLASS, END_CLASS], c])
-        return float((self.follow[past[:-2], past[1:-1], c] - self.emit[c]).sum())
+        by_class = self.follow[past[:-2], past[1:-1], c] / self.emit[c]
+        return float(np.log10((1 - MIX) * by_class + MIX / self.unigram).sum())
 
 
 def model_of(rows: DataFrame, tokens: np.ndarray, kinds: np.ndarray) -> Model:
@@ -368,7 +392,7 @@ def model_of(rows: DataFrame, tokens: np.ndarray, kinds: np.ndarray) -> Model:
     p3 = (n3 + PRIOR * p2[None]) / (n3.sum(axis=2, keepdims=True) + PRIOR)
     size = np.bincount(of, tokens, minlength=ALL)
     words = np.bincount(of, kinds, minlength=ALL)
-    return Model(of, np.log10(p3), np.log10(size + ADD * (words + 1)))
+    return Model(of, p3, size + ADD * (words + 1), tokens.sum() + ADD * (kinds.sum() + 1))
 
 
 def scored(docs: DataFrame) -> DataFrame:
