@@ -89,7 +89,8 @@ def coordinates(docs: DataFrame) -> DataFrame:
         F.struct("doc_id", "source", "lang").alias("__meta"),
     )
     staged_rows = staged(rows, "kd-rows")
-    groups = staged_rows.groupBy("__text", "size").agg(F.min("__meta").alias("__of"))
+    # written, so that the join below stands on plain scans and can split hot texts
+    groups = staged(staged_rows.groupBy("__text", "size").agg(F.min("__meta").alias("__of")), "kd-groups")
     span = groups.agg(F.min("__of.doc_id").alias("a"), F.max("__of.doc_id").alias("b")).first()
     least, width = span.a or 0, (span.b or 0) - (span.a or 0) + 1
     full = float(1 << BITS["c"])
