@@ -395,7 +395,9 @@ def clusters(docs: DataFrame, limit: int = BUCKET, miss: float = MISS) -> DataFr
     nodes = nodes.join(roots, F.col("nid") == F.col("node"), "left").select(
         "digest", "rep", F.coalesce("root", "nid").alias("comp")
     )
-    named = nodes.groupBy("comp").agg(F.min("rep").alias("component"))
+    # written, so that the join below stands on plain scans and can split hot components
+    nodes = staged(nodes, "node-roots")
+    named = staged(nodes.groupBy("comp").agg(F.min("rep").alias("component")), "components")
     named = nodes.join(named, "comp").select(F.col("digest").alias("d2"), "component")
     return rows.join(named, (F.col("n") > 0) & (F.col("digest") == F.col("d2")), "left").select(
         "doc_id", "th", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
