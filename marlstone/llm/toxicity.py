@@ -4,8 +4,9 @@ A word is the mean of the embeddings of its hashed character n-grams, so a
 misspelling that was never seen shares most of its vector with the word it
 bends.  A window of ``WINDOW`` words is the mean of its words, and a linear
 softmax turns it into two classes.  Embeddings and softmax are trained jointly
-in numpy on the driver, from at most ``PER_CLASS`` labelled documents of each
-class of at most ``LONGEST`` bytes; first on whole documents, then on the window
+in numpy on the driver, from a sample of labelled documents: at most
+``PER_CLASS`` of each class, of at most ``LONGEST`` bytes each and
+``SAMPLE_BYTES`` in all, in order of a hash of doc_id; first on whole documents, then on the window
 that speaks most for the toxic class.  A document scores as its worst window,
 so a few words in a very long text still count.
 
@@ -34,9 +35,9 @@ from .common import as_bytes, prepare, record_batch, slices, table
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 16
 DIM = 8
-WINDOW, STRIDE = 4, 2
+WINDOW, STRIDE = 3, 1
 PER_CLASS = 1500
-LONGEST = 16 << 10
+LONGEST, SAMPLE_BYTES = 8 << 10, 8 << 20
 WARM, ROUNDS, RATE, DECAY = 20, 45, 0.05, 1e-5
 FOLDS = 5
 
@@ -125,31 +126,49 @@ def _firsts(n: int) -> np.ndarray:
 
 
 class _Bags:
-    """N-gram buckets of the training texts, by word and document."""
+    """N-gram buckets of the training texts, by word and document.
+
+    The arrays of each n-gram size are kept apart and worked on in chunks, so
+    that no temporary is as large as the sample.
+    """
+
+    CHUNK = 1 << 20
 
     def __init__(self, texts: list[bytes]):
         raw, begins = _stream(texts)
         n = len(raw) - max(SIZES)
-        word_at = np.cumsum(_SPACE[raw[:n]]) - 1
-        words, buckets = [], []
-        for ok, bucket in _grams(raw):
-            words.append(word_at[ok].astype(np.int32))
-            buckets.append(bucket[ok])
-        word, self.bucket = np.concatenate(words), np.concatenate(buckets)
         starts = np.nonzero(_SPACE[raw[:n]])[0]
-        number = np.bincount(word, minlength=len(starts))
+        word_at = (np.cumsum(_SPACE[raw[:n]]) - 1).astype(np.int32)
+        number = np.zeros(len(starts), dtype=np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for ok, bucket in _grams(raw):
+            self.parts.append((word_at[ok], bucket[ok]))
+            number += np.bincount(self.parts[-1][0], minlength=len(starts))
         filled = np.nonzero(number)[0]
-        renumbered = np.cumsum(number > 0) - 1
-        self.word = renumbered[word].astype(np.int32)
+        renumbered = (np.cumsum(number > 0) - 1).astype(np.int32)
+        for word, _ in self.parts:
+            word[:] = renumbered[word]
         self.count = number[filled].astype(np.float64)
         self.cuts = np.searchsorted(starts[filled], begins)
 
+    def _chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for word, bucket in self.parts:
+            for at in range(0, len(word), self.CHUNK):
+                yield word[at : at + self.CHUNK], bucket[at : at + self.CHUNK]
+
     def scores(self, gram: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word, gram[self.bucket], minlength=len(self.count)) / self.count
+        total = np.zeros(len(self.count))
+        for word, bucket in self._chunks():  # words rise within a chunk
+            sums = np.bincount(word - word[0], gram[bucket])
+            total[word[0] : word[0] + len(sums)] += sums
+        return total / self.count
 
     def weights(self, per_word: np.ndarray) -> np.ndarray:
         """Sum over buckets of the weights given to words."""
-        return np.bincount(self.bucket, (per_word / self.count)[self.word], minlength=BUCKETS)
+        each, total = per_word / self.count, np.zeros(BUCKETS)
+        for word, bucket in self._chunks():
+            total += np.bincount(bucket, each[word], minlength=BUCKETS)
+        return total
 
 
 def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Model:
@@ -208,10 +227,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
         .filter(F.octet_length("text") <= LONGEST)
         .groupBy("doc_id")
         .agg(F.first(text).alias("text"), F.first("toxic").alias("toxic"))
-        .orderBy("doc_id")
+        .orderBy(order, "doc_id")
         .toArrow()
     )
-    return as_bytes(rows.column("text").combine_chunks()), rows.column("toxic").to_numpy()
+    texts, toxic, room = [], [], {0: SAMPLE_BYTES // 2, 1: SAMPLE_BYTES // 2}
+    for t, y in zip(as_bytes(rows.column("text").combine_chunks()), rows.column("toxic").to_pylist(), strict=True):
+        room[y] -= len(t)
+        if room[y] >= 0:
+            texts.append(t)
+            toxic.append(y)
+    return texts, np.array(toxic, dtype=np.int64)
 
 
 def _scorer(model: Model):
