@@ -24,7 +24,7 @@ def corpus(n=600, seed=4):
 
 def test_held_out_accuracy_misspellings_and_long_texts(spark, docs_of):
     rows, labels = corpus()
-    extra = [(9001, "ba ne ti " * 20 + "vilefooe"), (9002, "ba ne ti ro " * 8000 + "grubbling vilefoes " + "lu sem " * 5000), (9003, "ba ne ti ro lu " * 9000), (9004, None), (9005, " ")]
+    extra = [(9001, "ba ne ti " * 20 + "vilefooe " + "ro lu " * 9 + "grublings sneerworts"), (9002, "ba ne ti ro " * 8000 + "grubbling vilefoes " + "sneerwortz " + "lu sem " * 5000), (9003, "ba ne ti ro lu " * 9000), (9004, None), (9005, " ")]
     got = {r.doc_id: r for r in X.scored(docs_of(rows + extra), spark.createDataFrame(labels, LABELS)).collect()}
     held = [got[i] for i, _, _ in labels if got[i].held_out]
     assert np.mean([r.predicted == labels[r.doc_id][2] for r in held]) >= 0.95
