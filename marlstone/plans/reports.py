@@ -20,13 +20,13 @@ def _monthly(t):
 
 @query(
     f"""WITH {_MONTHLY}, w AS (
-      SELECT *, round(avg(total) OVER (PARTITION BY pri, y), 2) AS mean, lag(total) OVER (PARTITION BY pri ORDER BY y, m) AS before, lead(total) OVER (PARTITION BY pri ORDER BY y, m) AS after FROM monthly)
+      SELECT *, round(avg(total) OVER (PARTITION BY pri, y), 6) AS mean, lag(total) OVER (PARTITION BY pri ORDER BY y, m) AS before, lead(total) OVER (PARTITION BY pri ORDER BY y, m) AS after FROM monthly)
     SELECT pri, y, m, total, mean, before, after FROM w WHERE abs(total - mean) / mean > 0.2"""
 )
 def report_month_deviation(t):
     per, order = Window.partitionBy("pri", "y"), Window.partitionBy("pri").orderBy("y", "m")
     rows = _monthly(t).select(
-        "*", F.round(F.avg("total").over(per), 2).alias("mean"), F.lag("total").over(order).alias("before"), F.lead("total").over(order).alias("after")
+        "*", F.round(F.avg("total").over(per), 6).alias("mean"), F.lag("total").over(order).alias("before"), F.lead("total").over(order).alias("after")
     )
     return rows.filter(F.abs(_c("total") - _c("mean")) / _c("mean") > 0.2)
 
