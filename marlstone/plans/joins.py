@@ -76,6 +76,14 @@ sql_query(
     f"SELECT a.c_custkey, b.s_suppkey FROM {_NULLED} a JOIN {_NULLED2} b ON a.k <=> b.k",
     f"SELECT a.c_custkey, b.s_suppkey FROM {_NULLED} a JOIN {_NULLED2} b ON a.k IS NOT DISTINCT FROM b.k",
 )
+# the same over all customers: pairs of hot null keys meet in the null-safe join
+_ALL_NULLED = "(SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer)"
+sql_query("join_null_keys_whole", f"SELECT a.c_custkey, b.s_suppkey FROM {_ALL_NULLED} a JOIN {_NULLED2} b ON a.k = b.k")
+sql_query(
+    "join_null_safe_whole",
+    f"SELECT a.c_custkey, b.s_suppkey FROM {_ALL_NULLED} a JOIN {_NULLED2} b ON a.k <=> b.k",
+    f"SELECT a.c_custkey, b.s_suppkey FROM {_ALL_NULLED} a JOIN {_NULLED2} b ON a.k IS NOT DISTINCT FROM b.k",
+)
 sql_query(
     "join_natural",
     "SELECT k, a, b FROM (SELECT n_regionkey AS k, n_name AS a FROM nation) x NATURAL JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) y",
