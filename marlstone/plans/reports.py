@@ -40,10 +40,26 @@ def report_month_deviation(t):
     SELECT k, CAST(d AS TIMESTAMP) AS d, a, b FROM m WHERE a > b"""
 )
 def report_cumulative_lead(t):
+    return _cumulative_lead(t.lineitem.filter("l_suppkey < 20"))
+
+
+@query(
+    """WITH a AS (SELECT l_suppkey AS k, date_trunc('month', l_shipdate) AS d, round(sum(l_quantity), 2) AS q FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2),
+    b AS (SELECT l_suppkey AS k, date_trunc('month', l_shipdate) AS d, round(sum(l_quantity), 2) AS q FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+    ca AS (SELECT k, d, round(sum(q) OVER (PARTITION BY k ORDER BY d), 2) AS q FROM a), cb AS (SELECT k, d, round(sum(q) OVER (PARTITION BY k ORDER BY d), 2) AS q FROM b),
+    f AS (SELECT coalesce(ca.k, cb.k) AS k, coalesce(ca.d, cb.d) AS d, ca.q AS a, cb.q AS b FROM ca FULL JOIN cb ON ca.k = cb.k AND ca.d = cb.d),
+    m AS (SELECT k, d, max(a) OVER w AS a, max(b) OVER w AS b FROM f WINDOW w AS (PARTITION BY k ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT k, CAST(d AS TIMESTAMP) AS d, a, b FROM m WHERE a > b"""
+)
+def report_cumulative_lead_whole(t):
+    return _cumulative_lead(t.lineitem)
+
+
+def _cumulative_lead(lineitem):
     # both running totals come from one grouped pass; no full join is needed
     month = F.date_trunc("MONTH", "l_shipdate").cast("timestamp_ntz")
     amount = lambda flag: F.round(F.sum(F.when(_c("l_returnflag") == flag, _c("l_quantity"))), 2)
-    rows = t.lineitem.filter("l_suppkey < 20 AND l_returnflag IN ('A', 'R')").groupBy(_c("l_suppkey").alias("k"), month.alias("d")).agg(
+    rows = lineitem.filter("l_returnflag IN ('A', 'R')").groupBy(_c("l_suppkey").alias("k"), month.alias("d")).agg(
         amount("A").alias("qa"), amount("R").alias("qr")
     )
     upto = Window.partitionBy("k").orderBy("d").rowsBetween(Window.unboundedPreceding, Window.currentRow)

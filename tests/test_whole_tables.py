@@ -1,6 +1,6 @@
 """Queries over whole tables against counts made outside of both engines."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pyarrow.parquet as pq
 import pytest
@@ -21,3 +21,21 @@ def test_null_joins_pair_every_customer(spark, sf, name):
     want = Counter((c, s) for c, k in customers for s, m in suppliers if same(nulled(k), nulled(m)))
     assert Counter((r.c_custkey, r.s_suppkey) for r in QUERIES[name](spark, sf).collect()) == want
     assert any(c >= 60 for c, _ in want)
+
+
+def test_cumulative_lead_of_every_supplier(spark):
+    # sf0.001 has no supplier beyond the bound of report_cumulative_lead
+    sf = "/root/testdata/sf0.01"
+    total = defaultdict(lambda: defaultdict(float))
+    for k, flag, day, q in read(sf, "lineitem", "l_suppkey", "l_returnflag", "l_shipdate", "l_quantity"):
+        if flag in "AR":
+            total[k][day.year, day.month, flag] += q
+    want = set()
+    for k, months in total.items():
+        for y, m in {(y, m) for y, m, _ in months}:
+            a, r = (sum(q for (y2, m2, f), q in months.items() if f == flag and (y2, m2) <= (y, m)) for flag in "AR")
+            if a > r > 0:
+                want.add((k, y, m, round(a, 2), round(r, 2)))
+    got = {(r.k, r.d.year, r.d.month, r.a, r.b) for r in QUERIES["report_cumulative_lead_whole"](spark, sf).collect()}
+    assert got == want
+    assert any(k >= 20 for k, *_ in got)
