@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -202,6 +203,28 @@ def predicate_null_safe_equal(t):
 
 sql_query("sort_nulls", "SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer ORDER BY k ASC NULLS FIRST, c_custkey DESC NULLS LAST LIMIT 100")
 sql_query("sort_desc_nulls_first", "SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer ORDER BY k DESC NULLS FIRST, c_custkey ASC NULLS FIRST LIMIT 80")
+
+
+def _numbered(customer, by_key, by_id):
+    """All customers in order with their positions: those within a key after the rows of the keys before it."""
+    rows = customer.select("c_custkey", F.expr("nullif(c_nationkey, 3)").alias("k"))
+    earlier = Window.orderBy(by_key).rowsBetween(Window.unboundedPreceding, -1)  # one row per nation
+    keys = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    within = rows.withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy(by_id)))
+    placed = within.join(keys.select(F.col("k").alias("of"), "before"), F.col("k").eqNullSafe(F.col("of")))
+    return placed.select("c_custkey", "k", (F.col("before") + F.col("i")).alias("pos")).orderBy(by_key, by_id)
+
+
+@query("SELECT c_custkey, k, row_number() OVER (ORDER BY k ASC NULLS FIRST, c_custkey DESC NULLS LAST) AS pos FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer)")
+def sort_nulls_whole(t):
+    return _numbered(t.customer, F.asc_nulls_first("k"), F.desc_nulls_last("c_custkey"))
+
+
+@query("SELECT c_custkey, k, row_number() OVER (ORDER BY k DESC NULLS FIRST, c_custkey ASC NULLS FIRST) AS pos FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer)")
+def sort_desc_nulls_first_whole(t):
+    return _numbered(t.customer, F.desc_nulls_first("k"), F.asc_nulls_first("c_custkey"))
+
+
 sql_query("limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey ASC NULLS FIRST LIMIT 25 OFFSET 10")
 
 

@@ -39,3 +39,11 @@ def test_cumulative_lead_of_every_supplier(spark):
     got = {(r.k, r.d.year, r.d.month, r.a, r.b) for r in QUERIES["report_cumulative_lead_whole"](spark, sf).collect()}
     assert got == want
     assert any(k >= 20 for k, *_ in got)
+
+
+@pytest.mark.parametrize(("name", "key_sign", "id_sign"), [("sort_nulls_whole", 1, -1), ("sort_desc_nulls_first_whole", -1, 1)])
+def test_sorts_place_every_row(spark, sf, name, key_sign, id_sign):
+    customers = [(c, None if k == 3 else k) for c, k in read(sf, "customer", "c_custkey", "c_nationkey")]
+    want = sorted(customers, key=lambda r: (r[1] is not None, key_sign * (r[1] or 0), id_sign * r[0]))
+    got = [(r.c_custkey, r.k, r.pos) for r in QUERIES[name](spark, sf).collect()]
+    assert got == [(*row, i) for i, row in enumerate(want, 1)]
