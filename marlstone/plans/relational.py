@@ -282,6 +282,7 @@ def sample_with_replacement(t):
 # ---- set operations --------------------------------------------------------
 
 _A, _B = "SELECT c_nationkey AS k FROM customer WHERE c_custkey % 3 = 0", "SELECT s_nationkey AS k FROM supplier"
+_ALL = "SELECT c_nationkey AS k FROM customer"
 for _name, _op in {
     "union_all": "UNION ALL",
     "union": "UNION",
@@ -291,7 +292,9 @@ for _name, _op in {
     "intersect_all": "INTERSECT ALL",
 }.items():
     sql_query(f"set_{_name}", f"({_A}) {_op} ({_B})")
+    sql_query(f"set_{_name}_whole", f"({_ALL}) {_op} ({_B})")
 sql_query("set_minus", f"({_A}) MINUS ({_B})", f"({_A}) EXCEPT ({_B})")
+sql_query("set_minus_whole", f"({_ALL}) MINUS ({_B})", f"({_ALL}) EXCEPT ({_B})")
 
 
 @query("SELECT n_nationkey AS id, n_name AS name, NULL::VARCHAR AS extra FROM nation UNION ALL SELECT r_regionkey, NULL, r_name FROM region")

@@ -47,3 +47,10 @@ def test_sorts_place_every_row(spark, sf, name, key_sign, id_sign):
     want = sorted(customers, key=lambda r: (r[1] is not None, key_sign * (r[1] or 0), id_sign * r[0]))
     got = [(r.c_custkey, r.k, r.pos) for r in QUERIES[name](spark, sf).collect()]
     assert got == [(*row, i) for i, row in enumerate(want, 1)]
+
+
+def test_set_operations_take_every_customer(spark, sf):
+    a, b = (Counter(k for (k,) in read(sf, *x)) for x in (("customer", "c_nationkey"), ("supplier", "s_nationkey")))
+    want = {"union_all": a + b, "union": set(a) | set(b), "except": set(a) - set(b), "minus": set(a) - set(b), "except_all": a - b, "intersect": set(a) & set(b), "intersect_all": a & b}
+    for name, rows in want.items():
+        assert Counter(r.k for r in QUERIES[f"set_{name}_whole"](spark, sf).collect()) == Counter(rows)
