@@ -1,17 +1,21 @@
 """Brown class-based n-grams: exchange clustering and smoothed scoring.
 
-Every word belongs to a unit: the UNITS most frequent words are units of their
-own, all others share one of SHAPES units by their spelling.  Units are put into
-classes by exchange: first the CORE most frequent ones, moved one by one to the
-class that raises the likelihood of the class bigrams most, then all units at
-once from the classes of their neighbours in the whole corpus, SWEEPS times.
+The UNITS most frequent words are units of their own; for the first sweeps all
+others share one of SHAPES units by their spelling.  Units are put into classes
+by exchange: first the CORE most frequent ones, moved one by one to the class
+that raises the likelihood of the class bigrams most, then all units at once
+from the classes of their neighbours in the whole corpus, SWEEPS times.  In the
+last sweep every other word of the training documents gets a class of its own,
+from its own neighbours in a distributed table; the spelling unit counts as
+SHAPE_PRIOR occurrences, and speaks alone only for words never seen in training.
 A text scores by class trigrams, smoothed towards bigrams and unigrams, times
 the emission of each word from its class, smoothed with one unseen word a class,
 mixed with the word's unigram.
 
 Counts cover all training documents.  Word counts stay distributed: only the
 HEAD most frequent words (at most WORD_BYTES long) go to every task, which is a
-fixed bound; the occurrences of all other words are joined with their counts.
+fixed bound; the occurrences of all other words are joined with their counts
+and classes.
 What the driver holds is bounded by CORE, UNITS, SHAPES and CLASSES.
 
 Defined results: null and empty texts are the one end token; a null doc_id is
@@ -41,10 +45,16 @@ HEAD, WORD_BYTES = 1 << 18, 64
 UNITS, SHAPES = 20_000, 4096
 CORE, CLASSES = 1024, 48
 EXCHANGES, SWEEPS = 8, 2
+#: Occurrences that the spelling unit of a word counts for in the word's class.
+SHAPE_PRIOR = 0.5
 ADD = 0.1
 PRIOR = 20.0
 #: Weight of the unigram in the mixture.
 MIX = 0.15
+#: Tokens whose neighbours a task combines before it sends them on.
+FLUSH = 1 << 21
+#: Set in a class byte where the word is outside the head; classes are below it.
+TAIL_BIT = 64
 #: The end of a text; no word holds a space.
 END = b" "
 END_UNIT = UNITS + SHAPES
@@ -146,14 +156,19 @@ def _unit_of(word: bytes, index: dict[bytes, int], unit: np.ndarray) -> int:
     return END_UNIT if word == END else int(unit[at]) if at is not None else shape_unit(word)
 
 
-# ---- documents as units ----------------------------------------------------
+# ---- documents as codes ----------------------------------------------------
 
-ENCODED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, log_n double, units binary, tail array<binary>"
+ENCODED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, log_n double, codes binary, tail array<binary>"
+
+
+def units_of(words: Lexicon) -> np.ndarray:
+    """The unit of every code: words of the head, spelling units, the end."""
+    return np.concatenate([words.unit, np.arange(UNITS, END_UNIT + 1)]).astype(np.int16)
 
 
 def encoded(docs: DataFrame, words: Lexicon, log_end: float) -> DataFrame:
-    """Each document as unit numbers, with what its frequent words add up to."""
-    index, unit, log_n = words.index, words.unit, words.log_n
+    """Each document as codes, with what its frequent words add up to."""
+    index, log_n, heads = words.index, words.log_n, len(words.index)
     schema = pa.schema(
         [
             ("uid", pa.int64()),
@@ -162,30 +177,27 @@ def encoded(docs: DataFrame, words: Lexicon, log_end: float) -> DataFrame:
             ("n_tokens", pa.int64()),
             ("known", pa.int64()),
             ("log_n", pa.float64()),
-            ("units", pa.binary()),
+            ("codes", pa.binary()),
             ("tail", pa.list_(pa.binary())),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "log_n", "units", "tail")}
+            out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "log_n", "codes", "tail")}
             for text in as_bytes(batch.column("text")):
                 tokens = text.lower().split()
                 at = np.fromiter(map(index.get, tokens, repeat(-1)), dtype=np.int32, count=len(tokens))
                 rare = np.nonzero(at < 0)[0]
                 tail = [tokens[i] for i in rare.tolist()]
-                units = np.empty(len(tokens) + 1, dtype=np.int16)
-                if len(unit):
-                    units[:-1] = unit[at]
-                units[-1] = END_UNIT
+                codes = np.append(at, np.int32(heads + SHAPES))
                 if tail:
-                    units[rare] = [shape_unit(w) for w in tail]
+                    codes[rare] = [heads - UNITS + shape_unit(w) for w in tail]
                 known = len(tokens) - len(tail)
                 out["n_tokens"].append(len(tokens) + 1)
                 out["known"].append(known + 1 if log_end > np.log10(ADD) else known)
                 out["log_n"].append((float(log_n[at[at >= 0]].sum()) if known else 0.0) + log_end)
-                out["units"].append(units.tobytes())
+                out["codes"].append(codes.tobytes())
                 out["tail"].append(tail)
             yield record_batch({c: batch.column(c) for c in ("uid", "doc_id", "held_out")} | out, schema)
 
@@ -195,29 +207,37 @@ def encoded(docs: DataFrame, words: Lexicon, log_end: float) -> DataFrame:
     return staged(rows.mapInArrow(run, ENCODED), "brown-units")
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _streams(batches: Iterator[pa.RecordBatch], unit_of: np.ndarray) -> Iterator[np.ndarray]:
     """Unit numbers of the documents of each batch, one after another.
 
     Texts end with the end unit, which is also what the next one follows.
     """
     for batch in batches:
         if batch.num_rows:
-            data = b"".join(as_bytes(batch.column("units")))
-            yield np.concatenate([[END_UNIT], np.frombuffer(data, dtype=np.int16)]).astype(np.int32)
+            data = b"".join(as_bytes(batch.column("codes")))
+            yield np.concatenate([[END_UNIT], unit_of[np.frombuffer(data, dtype=np.int32)]]).astype(np.int32)
 
 
-def _summed(rows: DataFrame, work, size: int) -> np.ndarray:
+def _class_streams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Classes of the documents of each batch, one after another."""
+    for batch in batches:
+        if batch.num_rows:
+            data = b"".join(as_bytes(batch.column("classes")))
+            yield np.concatenate([[END_CLASS], np.frombuffer(data, dtype=np.uint8)]).astype(np.int32)
+
+
+def _summed(rows: DataFrame, streams, work, size: int) -> np.ndarray:
     """Sum over all tasks of the count vectors that ``work`` makes of streams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
-        for stream in _streams(batches):
+        for stream in streams(batches):
             total += work(stream)
         used = np.nonzero(total)[0]
         for part in np.array_split(used, max(1, len(used) >> 16)):
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["k", "n"])
 
-    got = rows.select("units").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size)
     out[got.column("k").to_numpy()] = got.column("n").to_numpy()
     return out
@@ -277,13 +297,13 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = EXCHANGE
     return of
 
 
-def _neighbours(rows: DataFrame, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _neighbours(rows: DataFrame, unit_of: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts [unit, class] of the classes before and after every unit."""
     units = END_UNIT + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, units * ALL), dtype=np.int32)
-        for s in _streams(batches):
+        for s in _streams(batches, unit_of):
             c = of[s]
             known = c[:-1] >= 0
             total[0] += np.bincount((s[1:] * ALL + c[:-1])[known], minlength=units * ALL).astype(np.int32)
@@ -309,7 +329,7 @@ def _neighbours(rows: DataFrame, of: np.ndarray) -> tuple[np.ndarray, np.ndarray
             values = pa.ListArray.from_arrays(np.arange(len(total) + 1, dtype=np.int32) * (2 * ALL), flat)
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), values], names=["unit", "v"])
 
-    summed = rows.select("units").mapInArrow(run, "unit int, v array<int>").repartition("unit").mapInArrow(add, "unit int, v array<long>")
+    summed = rows.select("codes").mapInArrow(run, "unit int, v array<int>").repartition("unit").mapInArrow(add, "unit int, v array<long>")
     got = summed.toArrow()
     out = np.zeros((units, 2 * ALL))
     if got.num_rows:
@@ -317,22 +337,37 @@ def _neighbours(rows: DataFrame, of: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[:, :ALL], out[:, ALL:]
 
 
-def _reassigned(left: np.ndarray, right: np.ndarray, tokens: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Every unit's likeliest class, the others staying as they are."""
+@dataclass
+class Sweep:
+    """What one sweep gives a unit or word for its neighbours' classes.
+
+    ``of`` has the classes of units before the sweep; the gain of a class is
+    the counts of the classes before and after times ``weight``, less
+    ``margin`` for each occurrence.
+    """
+
+    of: np.ndarray
+    weight: np.ndarray
+    margin: np.ndarray
+
+    def gain(self, beside: np.ndarray, n: np.ndarray) -> np.ndarray:
+        gain = beside @ self.weight - n[:, None] * self.margin[None, :]
+        gain[:, END_CLASS] = -np.inf
+        return gain
+
+
+def _sweep(right: np.ndarray, tokens: np.ndarray, of: np.ndarray) -> Sweep:
+    """Units move to their likeliest class, the others staying as they are."""
     known = of >= 0
     pairs = np.zeros((ALL, ALL))
     np.add.at(pairs, of[known], right[known])
     follow = np.log((pairs + ADD) / (pairs + ADD).sum(axis=1, keepdims=True))
     size = np.bincount(of[known], tokens[known], minlength=ALL)
-    gain = right @ follow.T + left @ follow - tokens[:, None] * np.log(size + 1)[None, :]
-    gain[:, END_CLASS] = -np.inf
-    new = gain.argmax(axis=1)
-    new[END_UNIT] = END_CLASS
-    return new
+    return Sweep(of, np.concatenate([follow, follow.T]), np.log(size + 1))
 
 
-def classes(rows: DataFrame, tokens: np.ndarray) -> np.ndarray:
-    """The class of every unit, from the training documents in ``rows``."""
+def classes(rows: DataFrame, unit_of: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, Sweep, np.ndarray]:
+    """The class of every unit, the last sweep, and its gains a token of spelling units."""
     core_of = np.full(END_UNIT + 1, -1, dtype=np.int32)
     core_of[:CORE] = np.arange(CORE)
 
@@ -342,12 +377,154 @@ def classes(rows: DataFrame, tokens: np.ndarray) -> np.ndarray:
         return np.bincount(a[both] * CORE + b[both], minlength=CORE * CORE)
 
     of = np.full(END_UNIT + 1, -1, dtype=np.int32)
-    of[:CORE] = exchange(_summed(rows, core_pairs, CORE * CORE).reshape(CORE, CORE))
+    pairs = _summed(rows.select("codes"), lambda batches: _streams(batches, unit_of), core_pairs, CORE * CORE)
+    of[:CORE] = exchange(pairs.reshape(CORE, CORE))
     of[END_UNIT] = END_CLASS
     for _ in range(SWEEPS):
-        left, right = _neighbours(rows, of)
-        of = _reassigned(left, right, tokens, of).astype(np.int32)
-    return of
+        left, right = _neighbours(rows, unit_of, of)
+        sweep = _sweep(right, tokens, of)
+        gain = sweep.gain(np.concatenate([left, right], axis=1), tokens)
+        of = gain.argmax(axis=1).astype(np.int32)
+        of[END_UNIT] = END_CLASS
+    return of, sweep, gain[UNITS:END_UNIT] / np.maximum(tokens[UNITS:END_UNIT], 1)[:, None]
+
+
+# ---- classes of all other words --------------------------------------------
+
+
+def _grouped(key: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The distinct keys, and for each the class pairs beside it as bytes."""
+    order = np.argsort(key, kind="stable")
+    found, first = np.unique(key[order], return_index=True)
+    ends = np.append(first, len(key)).astype(np.int32) * 2
+    data = beside[order].tobytes()
+    return found, pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+
+
+def word_classes(rows: DataFrame, unit_of: np.ndarray, sweep: Sweep, spelled: np.ndarray) -> DataFrame:
+    """(code, word, cls, n) of all words that are no units; word is null in the head.
+
+    A task sends one row a word with the classes beside its occurrences, two
+    bytes each; rows of a word meet in order, so adding them up holds one word
+    at a time besides a batch.
+    """
+    of, heads = sweep.of, len(unit_of) - SHAPES - 1
+    schema = pa.schema([("code", pa.int32()), ("word", pa.binary()), ("beside", pa.binary())])
+    result = pa.schema([("code", pa.int32()), ("word", pa.binary()), ("cls", pa.int32()), ("n", pa.int64())])
+
+    def send(codes: list[np.ndarray], tails: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        code = np.concatenate([[heads + SHAPES], *codes])
+        c = of[unit_of[code]].astype(np.uint8)  # 255 where a unit has no class yet
+        at = np.nonzero((code >= UNITS) & (code < heads))[0]
+        found, beside = _grouped(code[at], np.stack([c[at - 1], c[at + 1]], axis=1))
+        yield record_batch({"code": found, "word": pa.nulls(len(found), pa.binary()), "beside": beside}, schema)
+        at = np.nonzero((code >= heads) & (code < heads + SHAPES))[0]
+        words = pa.concat_arrays(tails).dictionary_encode()
+        found, beside = _grouped(words.indices.to_numpy(), np.stack([c[at - 1], c[at + 1]], axis=1))
+        code_of = np.zeros(len(found), dtype=np.int32)
+        code_of[words.indices.to_numpy()] = code[at]
+        yield record_batch({"code": code_of, "word": words.dictionary, "beside": beside}, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, tails, size = [], [], 0
+        for batch in batches:
+            if batch.num_rows:
+                codes.append(np.frombuffer(b"".join(as_bytes(batch.column("codes"))), dtype=np.int32))
+                tails.append(batch.column("tail").flatten())
+                size += len(codes[-1])
+            if size > FLUSH:
+                yield from send(codes, tails)
+                codes, tails, size = [], [], 0
+        if codes:
+            yield from send(codes, tails)
+
+    def chosen(code: np.ndarray, words: list, total: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        gain = sweep.gain(total, n) + SHAPE_PRIOR * spelled[unit_of[code] - UNITS]
+        return record_batch({"code": code, "word": words, "cls": gain.argmax(axis=1), "n": n}, result)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # code, word, counts and occurrences of the word that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code, words = batch.column("code").to_numpy(), batch.column("word").to_pylist()
+            new = np.array([True] + [a != b for a, b in zip(words, words[1:], strict=False)])
+            new[1:] |= code[1:] != code[:-1]
+            first, ids = np.nonzero(new)[0], np.cumsum(new) - 1
+            data = as_bytes(batch.column("beside"))
+            beside = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, 2).astype(np.int64)
+            of_pair = np.repeat(ids, [len(x) // 2 for x in data])
+            n = np.bincount(of_pair, minlength=len(first))
+            total = np.zeros(len(first) * 2 * ALL)
+            for side in (0, 1):
+                known = beside[:, side] < ALL
+                total += np.bincount((of_pair * 2 * ALL + side * ALL + beside[:, side])[known], minlength=len(total))
+            total = total.reshape(-1, 2 * ALL)
+            code, words = code[first], [words[i] for i in first]
+            if held is not None:
+                if held[0] == code[0] and held[1] == words[0]:
+                    total[0] += held[2]
+                    n[0] += held[3]
+                else:
+                    yield chosen(np.array([held[0]]), [held[1]], held[2][None], np.array([held[3]]))
+            held = code[-1], words[-1], total[-1], n[-1]
+            if len(first) > 1:
+                yield chosen(code[:-1], words[:-1], total[:-1], n[:-1])
+        if held is not None:
+            yield chosen(np.array([held[0]]), [held[1]], held[2][None], np.array([held[3]]))
+
+    sent = rows.select("codes", "tail").mapInArrow(run, "code int, word binary, beside binary")
+    met = sent.repartition("code", "word").sortWithinPartitions("code", "word")
+    return staged(met.mapInArrow(add, "code int, word binary, cls int, n long"), "brown-words")
+
+
+CLASSED = "doc_id long, held_out boolean, n_tokens long, known long, log_n double, classes binary"
+
+
+def classed(rows: DataFrame, words: DataFrame, class_of: np.ndarray, heads: int) -> DataFrame:
+    """Each document as classes, with what all its words add up to."""
+    part = pa.schema([("uid", pa.int64()), ("classes", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("log_n", pa.float64()), ("classes", pa.binary())])
+    byte_of = class_of.astype(np.uint8)
+    byte_of[heads : heads + SHAPES] |= TAIL_BIT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [byte_of[np.frombuffer(x, dtype=np.int32)].tobytes() for x in as_bytes(batch.column("codes"))]
+            others = {c: batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "known", "log_n")}
+            yield record_batch({"uid": batch.column("uid"), "classes": made} | others, pa.schema([*part, *list(schema)[:5]]))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for x, own in zip(as_bytes(batch.column("classes")), batch.column("own").to_pylist(), strict=True):
+                c = np.frombuffer(x, dtype=np.uint8)
+                if own is not None:
+                    spots, c = np.nonzero(c & TAIL_BIT)[0], c & (TAIL_BIT - 1)
+                    own = np.array(own, dtype=np.int64)
+                    c[spots[own // TAIL_BIT]] = own % TAIL_BIT
+                made.append(c.tobytes())
+            yield record_batch({f.name: batch.column(f.name) for f in list(schema)[:5]} | {"classes": made}, schema)
+
+    mapped = rows.select("uid", "doc_id", "held_out", "n_tokens", "known", "log_n", "codes").mapInArrow(
+        run, "uid long, classes binary, doc_id long, held_out boolean, n_tokens long, known long, log_n double"
+    )
+    tails = words.filter("word IS NOT NULL").select("word", "cls", "n")
+    rare = rows.select("uid", F.posexplode("tail").alias("i", "word")).join(tails, "word", "left").groupBy("uid").agg(
+        F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("rare_log_n"),
+        F.count("n").alias("rare_known"),
+        F.collect_list(F.col("i").cast("long") * TAIL_BIT + F.col("cls")).alias("own"),
+    )
+    joined = mapped.join(rare, "uid", "left").select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("known"),
+        (F.col("log_n") + F.coalesce("rare_log_n", F.lit(0.0))).alias("log_n"),
+        "classes",
+        "own",
+    )
+    return staged(joined.mapInArrow(merge, CLASSED), "brown-classes")
 
 
 # ---- the model -------------------------------------------------------------
@@ -355,44 +532,39 @@ def classes(rows: DataFrame, tokens: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Classes of units, transitions [c2, c1, c], sums of emission, of unigrams.
+    """Transitions [c2, c1, c], sums of emission, of unigrams.
 
     The probability of a word is a mixture of that of its class times its
     emission and of its unigram.  Both have the word's smoothed count as their
     numerator, so a text is scored from classes and the counts are added apart.
     """
 
-    of: np.ndarray
     follow: np.ndarray
     emit: np.ndarray
     unigram: float
 
-    def score(self, units: np.ndarray) -> float:
-        """log10 probability of a text, without the counts of its words."""
-        c = self.of[units]
+    def score(self, c: np.ndarray) -> float:
+        """log10 probability of a text of classes, without the counts of its words."""
         past = np.concatenate([[END_CLASS, END_CLASS], c])
         by_class = self.follow[past[:-2], past[1:-1], c] / self.emit[c]
         return float(np.log10((1 - MIX) * by_class + MIX / self.unigram).sum())
 
 
-def model_of(rows: DataFrame, tokens: np.ndarray, kinds: np.ndarray) -> Model:
-    of = classes(rows, tokens)
+def model_of(rows: DataFrame, size: np.ndarray, words: np.ndarray) -> Model:
+    """The model of documents as classes; ``size`` and ``words`` are tokens and words of each class."""
 
-    def triples(s: np.ndarray) -> np.ndarray:
-        c = of[s]
+    def triples(c: np.ndarray) -> np.ndarray:
         ends = np.concatenate([[END_CLASS], c[:-1]])
         # a text that begins has two ends before it
         before = np.where(c == END_CLASS, END_CLASS, ends)
         return np.bincount((before[:-1] * ALL + c[:-1]) * ALL + c[1:], minlength=ALL**3)
 
-    n3 = _summed(rows, triples, ALL**3).reshape(ALL, ALL, ALL)
+    n3 = _summed(rows.select("classes"), _class_streams, triples, ALL**3).reshape(ALL, ALL, ALL)
     n2, n1 = n3.sum(axis=0), n3.sum(axis=(0, 1))
     p1 = (n1 + ADD) / (n1 + ADD).sum()
     p2 = (n2 + PRIOR * p1) / (n2.sum(axis=1, keepdims=True) + PRIOR)
     p3 = (n3 + PRIOR * p2[None]) / (n3.sum(axis=2, keepdims=True) + PRIOR)
-    size = np.bincount(of, tokens, minlength=ALL)
-    words = np.bincount(of, kinds, minlength=ALL)
-    return Model(of, p3, size + ADD * (words + 1), tokens.sum() + ADD * (kinds.sum() + 1))
+    return Model(p3, size + ADD * (words + 1), size.sum() + ADD * (words.sum() + 1))
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -403,34 +575,37 @@ def scored(docs: DataFrame) -> DataFrame:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     words = lexicon(counts)
     tokens, kinds = unit_totals(counts, words)
-    rows = encoded(docs, words, float(np.log10(tokens[END_UNIT] + ADD)))
-    model = model_of(rows.filter("NOT held_out"), tokens, kinds)
-    schema = pa.schema([("uid", pa.int64()), ("class_score", pa.float64())])
+    rows, unit_of = encoded(docs, words, float(np.log10(tokens[END_UNIT] + ADD))), units_of(words)
+    training = rows.filter("NOT held_out")
+    of, sweep, spelled = classes(training, unit_of, tokens)
+    others = word_classes(training, unit_of, sweep, spelled)
+    class_of = of[unit_of]
+    in_head = others.filter("word IS NULL").select("code", "cls").toArrow()  # HEAD rows at most
+    class_of[in_head.column("code").to_numpy()] = in_head.column("cls").to_numpy()
+    own = np.r_[:UNITS, END_UNIT]
+    size, number = (np.bincount(of[own], x[own], minlength=ALL) for x in (tokens, kinds))
+    for r in others.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+        size[r.cls] += r.n
+        number[r.cls] += r.words
+    texts = classed(rows, others, class_of, len(words.index))
+    model = model_of(texts.filter("NOT held_out"), size, number)
+    base = float(np.log10(total.n + ADD * (total.v + 1)))
+    schema = pa.schema([("class_score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = [np.frombuffer(u, dtype=np.int16) for u in as_bytes(batch.column("units"))]
-            yield record_batch({"uid": batch.column("uid"), "class_score": [model.score(u) for u in units]}, schema)
-
-    by_class = rows.select("uid", "units").mapInArrow(run, "uid long, class_score double")
-    rare = rows.select("uid", F.explode("tail").alias("word")).join(counts, "word", "left").groupBy("uid").agg(
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("rare_log_n"), F.count("n").alias("rare_known")
-    )
-    log_n = F.col("log_n") + F.coalesce("rare_log_n", F.lit(0.0))
-    base = float(np.log10(total.n + ADD * (total.v + 1)))
-    return (
-        rows.select("uid", "doc_id", "held_out", "n_tokens", "known", "log_n")
-        .join(by_class, "uid")
-        .join(rare, "uid", "left")
-        .select(
-            "doc_id",
-            "held_out",
-            "n_tokens",
-            (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-            F.lit(int(total.n)).cast("long").alias("train_tokens"),
-            (log_n - F.col("n_tokens") * F.lit(base)).alias("base_score"),
-            (log_n + F.col("class_score")).alias("score"),
-        )
+            score = [model.score(np.frombuffer(x, dtype=np.uint8)) for x in as_bytes(batch.column("classes"))]
+            others = [f for f in batch.schema if f.name != "classes"]
+            yield record_batch({f.name: batch.column(f.name) for f in others} | {"class_score": score}, pa.schema([*others, *schema]))
+
+    return texts.mapInArrow(run, CLASSED.replace("classes binary", "class_score double")).select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        F.col("known").alias("n_known"),
+        F.lit(int(total.n)).cast("long").alias("train_tokens"),
+        (F.col("log_n") - F.col("n_tokens") * F.lit(base)).alias("base_score"),
+        (F.col("log_n") + F.col("class_score")).alias("score"),
     )
 
 

@@ -43,3 +43,16 @@ def test_exchange_finds_alternating_classes():
     bigrams = np.where(group[:, None] != group[None, :], 50.0, 1.0)
     of = B.exchange(bigrams[np.ix_(np.argsort(-bigrams.sum(1)), np.arange(m))], classes=2)
     assert len({(g, c) for g, c in zip(group, of, strict=True)}) == 2
+
+
+def test_rare_words_of_one_spelling_get_classes_of_their_own(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(B, "HEAD", 4)  # red, dog, up and sky; the other two share a spelling unit
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    assert B.shape_unit(b"abc1yz") == B.shape_unit(b"abc2yz")
+    train, apart = [i for i in range(200) if not held(i)][:80], [i for i in range(200) if held(i)][:2]
+    rows = [(i, "red abc1yz red dog red dog red" if k % 2 else "up abc2yz up sky up sky up") for k, i in enumerate(train)]
+    rows += [(apart[0], "red abc1yz red"), (apart[1], "red abc2yz red")]
+    got = {r.doc_id: r for r in B.scored(docs_of(rows)).collect()}
+    met, strange = (got[i] for i in apart)
+    assert met.base_score == pytest.approx(strange.base_score)
+    assert met.score > strange.score + 0.1
