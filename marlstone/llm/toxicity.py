@@ -5,8 +5,11 @@ misspelling that was never seen shares most of its vector with the word it
 bends.  A window of ``WINDOW`` words is the mean of its words, and a linear
 softmax turns it into two classes.  Embeddings and softmax are trained jointly
 in numpy on the driver, from a sample of labelled documents: at most
-``PER_CLASS`` of each class, of at most ``LONGEST`` bytes each and
-``SAMPLE_BYTES`` in all, in order of a hash of doc_id; first on whole documents, then on the window
+``PER_CLASS`` of each class in order of a hash of doc_id, those of at most
+``LONGEST`` bytes before longer ones.  A longer text gives a window of
+``LONGEST`` bytes, whose place a hash of doc_id picks, and where the sample of a
+class would pass half of ``SAMPLE_BYTES``, all its texts are cut to equal
+bounds instead of dropping any; first on whole documents, then on the window
 that speaks most for the toxic class.  A document scores as its worst window,
 so a few words in a very long text still count.
 
@@ -219,24 +222,38 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
-    picked = [known.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(per_class) for c in (0, 1)]
-    sample = F.broadcast(picked[0].union(picked[1]))  # 2 * per_class rows at most
     text = F.coalesce("text", F.lit("")).cast("binary")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    # two orders by hash, so that a short text is never left out for a long one
+    sizes = docs.groupBy("doc_id").agg(F.min(size).alias("size")).join(known, "doc_id")
+    keys = [F.col("size") > LONGEST, order, F.col("doc_id")]
+    picked = [sizes.filter(F.col("toxic") == c).orderBy(*keys).limit(per_class).select("doc_id", "toxic") for c in (0, 1)]
+    sample = F.broadcast(picked[0].union(picked[1]))  # 2 * per_class rows at most
+    start = F.when(size > LONGEST, F.pmod(F.xxhash64("doc_id", F.lit(1)), size - LONGEST + 1)).otherwise(F.lit(0)).cast("int")
+    window = F.substring(text, start + 1, F.lit(LONGEST))
     rows = (
         docs.join(sample, "doc_id")
-        .filter(F.octet_length("text") <= LONGEST)
         .groupBy("doc_id")
-        .agg(F.first(text).alias("text"), F.first("toxic").alias("toxic"))
+        .agg(F.min_by(window, size).alias("text"), F.first("toxic").alias("toxic"))
         .orderBy(order, "doc_id")
         .toArrow()
     )
-    texts, toxic, room = [], [], {0: SAMPLE_BYTES // 2, 1: SAMPLE_BYTES // 2}
-    for t, y in zip(as_bytes(rows.column("text").combine_chunks()), rows.column("toxic").to_pylist(), strict=True):
-        room[y] -= len(t)
-        if room[y] >= 0:
-            texts.append(t)
-            toxic.append(y)
-    return texts, np.array(toxic, dtype=np.int64)
+    texts, toxic = as_bytes(rows.column("text").combine_chunks()), np.array(rows.column("toxic").to_pylist(), dtype=np.int64)
+    for c in (0, 1):
+        of = [i for i in range(len(texts)) if toxic[i] == c]
+        bound = _equal_bound([len(texts[i]) for i in of], SAMPLE_BYTES // 2)
+        for i in of:
+            texts[i] = texts[i][:bound]
+    return texts, toxic
+
+
+def _equal_bound(lengths: list[int], room: int) -> int:
+    """The largest bound under which texts cut to it fit in ``room``."""
+    for left, n in zip(range(len(lengths), 0, -1), sorted(lengths), strict=True):
+        if n * left > room:
+            return room // left
+        room -= n
+    return LONGEST
 
 
 def _scorer(model: Model):

@@ -1,3 +1,4 @@
+import zlib
 import random
 
 import numpy as np
@@ -46,3 +47,15 @@ def test_clean_and_odd_labels(spark, docs_of, odd_texts):
     out = X.clean(docs, none)
     assert out.columns == docs.columns and out.count() == len(odd_texts)
     assert X.scored(docs_of([]), none).collect() == []
+
+
+def test_long_labelled_texts_give_windows(spark, docs_of):
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % X.FOLDS][:40]
+    docs = docs_of([(i, ("vile " if k % 2 else "mild ") * 4000) for k, i in enumerate(ids)])
+    labels = spark.createDataFrame([(i, 1, k % 2) for k, i in enumerate(ids)], LABELS)
+    texts, toxic = X.labelled_sample(docs, labels)
+    assert len(texts) == 40 and sorted(toxic) == [0] * 20 + [1] * 20
+    assert {len(t) for t in texts} == {X.LONGEST}
+    assert X._equal_bound([10, 50, 90], 100) == 45
+    model = X.train(texts, toxic)
+    assert model.score([b"vile vile vile"])[0] > 0.5 > model.score([b"mild mild mild"])[0]
