@@ -31,6 +31,11 @@ def join_cross(t):
     return t.region.crossJoin(t.nation.filter("n_nationkey < 4")).select("r_name", "n_name")
 
 
+@query("SELECT r_name, n_name FROM region, nation")
+def join_cross_whole(t):
+    return t.region.crossJoin(t.nation).select("r_name", "n_name")
+
+
 @query("SELECT k, c_name, s_name FROM (SELECT c_nationkey AS k, c_name FROM customer) JOIN (SELECT s_nationkey AS k, s_name FROM supplier) USING (k)")
 def join_using(t):
     return t.customer.select(F.col("c_nationkey").alias("k"), "c_name").join(t.supplier.select(F.col("s_nationkey").alias("k"), "s_name"), ["k"])

@@ -238,6 +238,11 @@ def sort_offset(t):
     return t.orders.orderBy("o_orderkey").offset(14900).select("o_orderkey")
 
 
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 100")
+def sort_offset_whole(t):
+    return t.orders.orderBy("o_orderkey").offset(100).select("o_orderkey")
+
+
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
 def sort_within_partitions(t):
     rows = t.orders.repartition(4, "o_custkey").sortWithinPartitions("o_custkey", F.desc("o_orderkey"))

@@ -54,3 +54,10 @@ def test_set_operations_take_every_customer(spark, sf):
     want = {"union_all": a + b, "union": set(a) | set(b), "except": set(a) - set(b), "minus": set(a) - set(b), "except_all": a - b, "intersect": set(a) & set(b), "intersect_all": a & b}
     for name, rows in want.items():
         assert Counter(r.k for r in QUERIES[f"set_{name}_whole"](spark, sf).collect()) == Counter(rows)
+
+
+def test_offset_leaves_rows_and_cross_join_takes_all_nations(spark, sf):
+    want = sorted(k for (k,) in read(sf, "orders", "o_orderkey"))[100:]
+    assert want and [r.o_orderkey for r in QUERIES["sort_offset_whole"](spark, sf).collect()] == want
+    pairs = {(r, n) for (r,) in read(sf, "region", "r_name") for (n,) in read(sf, "nation", "n_name")}
+    assert {tuple(r) for r in QUERIES["join_cross_whole"](spark, sf).select("r_name", "n_name").collect()} == pairs
