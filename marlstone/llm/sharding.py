@@ -7,7 +7,7 @@ half of the node's bytes is reached, so no node's rows meet in one task and the
 driver sees one row per node and round.
 
 Equal texts share all coordinates (those of the smallest doc_id among them),
-so copies stay in one shard; only a group over ``WHOLE`` of a leaf is cut, by a
+so copies stay in one shard; only a group that weighs over a leaf is cut, by a
 hash of doc_id.
 
 Defined results: null or empty texts have size 1; null metadata have the
@@ -30,8 +30,8 @@ DIGIT = 12
 #: Bits of a coordinate, of the text hash and of the id hash in a sort key.
 BITS = {"c": 24, "t": 48, "h": 36}
 TOTAL_BITS = sum(BITS.values())
-#: A group of equal texts is cut only where it weighs more than this part of a leaf.
-WHOLE = 0.01
+#: A group of equal texts is cut only where it weighs more than this part of a leaf: where no leaf holds it.
+WHOLE = 1.0
 DIMENSIONS = ("d_size", "d_source", "d_lang", "d_id")
 
 

@@ -43,3 +43,12 @@ def test_odd_rows_and_target_bytes(spark, docs_of, odd_texts):
 def test_native(spark, sf):
     text = S.query(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
+
+
+def test_copies_that_a_leaf_can_hold_stay_together(spark, docs_of):
+    texts = [f"{k:03d} " + "z" * 95 for k in range(40)]
+    got = S.kd_shards(docs_of([(i, texts[i % 40]) for i in range(400)]), shards=8).collect()  # a group is a fifth of a leaf
+    shards = defaultdict(set)
+    for r in got:
+        shards[r.doc_id % 40].add(r.shard)
+    assert {len(x) for x in shards.values()} == {1}
