@@ -1,6 +1,6 @@
 """WARC archives: writing with revisits, and boundary-chain verified reading.
 
-Writing.  Of records with equal payloads the one with the largest page_id is a
+Writing.  Of records with equal payloads (length and SHA-256) the one with the largest page_id is a
 response, the others are revisits that carry its id, length and digest but not
 the bytes.  Only rows that share a payload (found by a Bloom filter of bounded
 size) are shuffled to decide this; all others are written where they are read.
@@ -12,7 +12,9 @@ magic inside a payload makes false candidates, so only candidates reachable
 from the start of a file count: every byte range first jumps its own chain to
 where it leaves the range, then pointer jumping over these exits doubles the
 reach until it no longer grows.  Payloads that false candidates had cut are put
-together again from their pieces.
+together again from their pieces.  The bytes of those pieces are read a second
+time and found by their digest, not by a row number: which byte ranges a scan
+makes depends on how many cores are alive, and may differ between two scans.
 
 Defined results: null html is an empty payload; a null page_id is the smallest;
 rows that repeat page_id and payload are all responses, or all revisits; the
@@ -82,7 +84,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """Write one record for each row to archive files under ``path``."""
     prepare(pages.sparkSession)
     payload = text_or_empty("html")
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("sha"))
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("sha"))
     shared = staged(
         rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sha", "last"),
         "warc-shared",
@@ -121,6 +123,11 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _identity() -> Column:
+    """What a piece is found by in another scan: the digest of its bytes."""
+    return F.unhex(F.sha1("value"))
+
+
 def _field(name: str, pattern: str) -> Column:
     return F.regexp_extract("head", rf"(?m)^{name}: {pattern}\r?$", 1)
 
@@ -211,7 +218,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     pieces = _pieces(spark, path).select("*", *_parsed()).withColumn("content", content)
     good = whole & (F.col("content") >= F.col("http_bytes") - F.col("head_bytes"))
     pieces = pieces.select(
-        "file", "block", "seq", "length", "head", "head_bytes", "content", "stated",
+        "file", "block", "seq", "length", "head", "head_bytes", "content", "stated", _identity().alias("id"),
         F.when(good, F.octet_length(_payload())).alias("bytes"),
         F.when(good, base32_sha1(_payload())).alias("digest"),
     )
@@ -236,7 +243,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     cut = staged(records.filter("digest IS NULL").select("file", "offset"), "warc-cut")
     done = records.filter("digest IS NOT NULL").select("file", "offset", "head", "stated", "bytes", "digest")
     if cut.limit(1).count():
-        done = done.union(_mended(spark, path, placed, cut))
+        done = done.union(_mended(spark, path, placed, pieces, cut))
     return done.select(
         "file",
         "offset",
@@ -248,22 +255,25 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _mended(spark: SparkSession, path: str, placed: DataFrame, cut: DataFrame) -> DataFrame:
+def _mended(spark: SparkSession, path: str, placed: DataFrame, pieces: DataFrame, cut: DataFrame) -> DataFrame:
     """Records whose payload holds the magic, put together from their pieces."""
     upto = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     owned = placed.withColumn("of", F.last(F.when(F.col("reached"), F.col("offset")), ignorenulls=True).over(upto))
     owned = owned.join(cut.withColumnRenamed("offset", "of"), ["file", "of"]).select("file", "block", "seq", "offset", "of")
-    owned = staged(owned, "warc-owned")
-    bits = bloom.build(owned.select(F.xxhash64("file", "seq").alias("h")), bloom.log2_bits(owned.count()))
+    owned = staged(owned.join(pieces.select("file", "block", "seq", "id"), ["file", "block", "seq"]).select("file", "of", "offset", "id"), "warc-owned")
+    ids = owned.select("id").distinct()
+    bits = bloom.build(ids.select(F.xxhash64("id").alias("h")), bloom.log2_bits(ids.count()))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hit = bloom.test(bits, batch.column("h").to_numpy()) if batch.num_rows else []
-            yield batch.filter(pa.array(hit, pa.bool_()))
+            yield batch.select(["id", "value"]).filter(pa.array(hit, pa.bool_()))
 
-    again = _pieces(spark, path).select("*", F.xxhash64("file", "seq").alias("h"))
-    again = again.mapInArrow(wanted, again.schema).drop("h")
-    joined = owned.join(again, ["file", "block", "seq"]).groupBy("file", "of").agg(
+    again = _pieces(spark, path).select(_identity().alias("id"), "value").select("*", F.xxhash64("id").alias("h"))
+    again = again.mapInArrow(wanted, "id binary, value string")
+    # pieces with one digest have the same bytes, so any of them will do
+    values = staged(again.groupBy("id").agg(F.first("value").alias("value")), "warc-values")
+    joined = owned.join(values, "id").groupBy("file", "of").agg(
         F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("parts")  # one record's own pieces
     )
     value = F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC)

@@ -45,6 +45,24 @@ def test_magic_in_payloads_over_many_ranges(spark, small_ranges):
     assert sorted(map(str, map(tuple, got))) == expected(rows)
 
 
+def test_other_byte_ranges_in_the_second_scan(spark, small_ranges, monkeypatch):
+    """Fewer live cores between two scans make other splits of the same files."""
+    kinds = ["<p>x</p>" * 40, FAKE * 3, "pre" + warc.MAGIC + "post" + FAKE]
+    rows = [(i, f"http://a/{i}", kinds[i % 3] * (1 + i % 4)) for i in range(60)]
+    path = written(spark, rows)
+    monkeypatch.setattr(warc, "staged", lambda df, name: _staged_under(spark, df, name))
+    got = warc.described(warc.read_archives(spark, path)).collect()
+    assert sorted(map(str, map(tuple, got))) == expected(rows)
+
+
+def _staged_under(spark, df, name):
+    from marlstone.llm.common import staged
+
+    out = staged(df, name)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(2000 + len(name) * 531))
+    return out
+
+
 def test_equal_payloads_and_empty_table(spark):
     rows = [(i, "u", "same" if i % 3 else None) for i in range(30)]
     got = warc.described(warc.read_archives(spark, written(spark, rows))).collect()
