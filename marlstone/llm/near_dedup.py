@@ -18,8 +18,16 @@ Documents are sets of distinct 5-word shingles; two are linked when
    full sets in the same task.  Only links are emitted, at most one for each two
    components of a bucket, never all pairs of a group.
 
-A bucket over ``BUCKET`` members is cut by further bands, which keeps the miss
-probability, so a hot band is not compared pair by pair as a whole.
+No task holds more than a bucket of ``BUCKET`` members or ``BUCKET_SHINGLES``
+shingles, however hot a band is.  The first pass, which is linear, deals larger
+buckets into pieces, anew in each band, so that groups of copies still grow
+together.  The second pass compares, in a larger bucket, blocks of strays with
+blocks of members, each pair of blocks in a task of its own.  Only where the
+strays alone would fill several blocks, so that blocks would be many, the
+bucket is first cut by size of the sets (which is exact) and by the other bands
+(a pair at the threshold that shares no other is missed with probability 8e-5,
+within ``MISS``); what is left goes by blocks.  A member of a hot bucket is thus
+sent at most 62 times for that, once, and never again by the bands it was cut by.
 
 Defined results: null, empty and all-space texts have size 0 and are linked
 with nothing; with one to four words the whole sequence is the one shingle;
@@ -36,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -50,7 +58,8 @@ BANDS = LANES // ROWS
 STEP = 32
 THRESHOLD = 0.75
 MISS = 1e-4
-BUCKET = 4096
+BUCKET, BUCKET_SHINGLES = 1024, 8 << 20
+HELD_BYTES = 64 << 20
 LAGS = 64
 CACHE = 200_000
 
@@ -248,7 +257,7 @@ def _owner(work, schema: pa.Schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        count = 0
+        count = size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -266,12 +275,13 @@ def _owner(work, schema: pa.Schema):
             cut = batch.num_rows if going_on else int(np.argmax(part["bucket"] == last))
             if cut < batch.num_rows:
                 ended = held + ([{k: v[:cut] for k, v in part.items()}] if cut else [])
-                if ended and (count + cut >= 4096 or len(ended) > 8):
+                if ended and (count + cut >= 4096 or size > HELD_BYTES or len(ended) > 8):
                     yield emit(ended)
-                    held, count = [], 0
+                    held, count, size = [], 0, 0
                     part = {k: v[cut:] for k, v in part.items()}
             held.append(part)
             count += len(part["nid"])
+            size += batch.nbytes
         if held:
             yield emit(held)
 
@@ -282,30 +292,78 @@ PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 MEMBER = pa.schema([("band", pa.int64()), ("key", pa.int64()), ("nid", pa.int64())])
 
 
-def band_members(nodes: DataFrame, limit: int = BUCKET, most: int = 3) -> DataFrame:
-    """(band, key, nid) of nodes in buckets with at least two members.
+def band_members(nodes: DataFrame) -> DataFrame:
+    """(band, key, nid, n, members, weight) of nodes in buckets with company."""
+    rows = nodes.select("nid", "n", F.posexplode("sig").alias("band", "key")).withColumn("band", F.col("band").cast("long"))
+    counts = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight")).filter("members > 1")
+    return staged(rows.join(counts, ["band", "key"]), "members")
 
-    Buckets over ``limit`` are cut by a further band, up to ``most`` times.
+
+def _blocks(members: str, weight: str, limit: int) -> Column:
+    """Blocks into which a bucket is dealt: within the limits of a task."""
+    return F.ceil(F.greatest(F.col(members) / limit, F.col(weight) / BUCKET_SHINGLES)).cast("long")
+
+
+def in_pieces(members: DataFrame, limit: int = BUCKET) -> DataFrame:
+    """(band, key, nid): buckets over the limits dealt into pieces, anew in each band."""
+    piece = F.pmod(F.xxhash64("nid", "band"), _blocks("members", "weight", limit))
+    return members.select("band", F.when(_blocks("members", "weight", limit) > 1, F.xxhash64("key", piece)).otherwise(F.col("key")).alias("key"), "nid")
+
+
+def _mixed(label: DataFrame, limit: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets with several components: those a task can hold, and the others.
+
+    The others carry the largest component, the strays outside it and the
+    numbers of blocks.
     """
-    rows = nodes.select("nid", F.posexplode("sig").alias("band", "key")).withColumn("band", F.col("band").cast("long"))
-    done = None
-    for depth in range(most + 1):
-        counts = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-        rows = staged(rows.join(counts, ["band", "key"]), "bands")
-        last = depth == most or not rows.filter(F.col("members") > limit).limit(1).count()
-        fine = rows if last else rows.filter(F.col("members") <= limit)
-        fine = fine.select("band", "key", "nid")
-        done = fine if done is None else done.union(fine)
-        if last:
-            return done
-        hot = rows.filter(F.col("members") > limit).select("band", "key", "nid")
-        rows = hot.join(nodes.select("nid", "sig"), "nid").select(
-            "nid", F.xxhash64("band", "key").alias("path"), F.posexplode("sig").alias("next", "value")
-        )
-        rows = rows.select(
-            "nid", (F.lit(depth + 1) * BANDS + F.col("next")).cast("long").alias("band"), F.xxhash64("path", "value").alias("key")
-        )
-    return done
+    sums = label.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    size = F.struct("c", "w", "comp")
+    sums = sums.groupBy("band", "key").agg(F.sum("c").alias("m"), F.sum("w").alias("mw"), F.max(size).alias("top"))
+    sums = sums.filter("m > top.c").select(
+        "band", "key", F.col("top.comp").alias("major"), "m", "mw", (F.col("m") - F.col("top.c")).alias("s"), (F.col("mw") - F.col("top.w")).alias("sw")
+    )
+    sums = staged(sums.select("band", "key", "major", _blocks("m", "mw", limit).alias("blocks"), _blocks("s", "sw", limit).alias("stray_blocks")), name)
+    rows = ["band", "key", "nid", "n", "comp"]
+    small = label.join(sums.filter("blocks = 1"), ["band", "key"], "left_semi").select(*rows)
+    return small, label.join(sums.filter("blocks > 1"), ["band", "key"]).select(*rows, "major", "blocks", "stray_blocks")
+
+
+def _in_blocks(hot: DataFrame) -> DataFrame:
+    """Each block of strays with each block of members, as buckets of their own."""
+    block, stray = F.pmod(F.xxhash64("nid"), "blocks"), F.pmod(F.xxhash64("nid", F.lit(1)), "stray_blocks")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    member = hot.select("*", block.alias("x"), F.explode(upto("stray_blocks")).alias("y"))
+    strays = hot.filter("comp <> major").select("*", F.explode(upto("blocks")).alias("x"), stray.alias("y"))
+    units = member.union(strays.select(*member.columns))
+    key = F.xxhash64("band", "key", "x", "y")
+    return units.select(F.lit(2 * BANDS).cast("long").alias("band"), key.alias("key"), "nid", "n", "comp").distinct()
+
+
+def _cut(hot: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Hot buckets cut by size of the sets and by the bands other than their own."""
+    size = F.floor(F.ln("n") / math.log(1 / THRESHOLD + 0.01)).cast("long")
+    rows = hot.join(nodes.select("nid", "sig"), "nid").select(
+        "band", "key", "nid", "n", "comp", F.posexplode("sig").alias("other", "value"), F.array(size, size - 1).alias("sizes")
+    )
+    rows = rows.filter("other <> band").select("*", F.explode("sizes").alias("size"))
+    key = F.xxhash64("band", "key", "other", "value", "size")
+    return rows.select(F.lit(BANDS).cast("long").alias("band"), key.alias("key"), "nid", "n", "comp")
+
+
+def crossing_buckets(label: DataFrame, nodes: DataFrame, limit: int = BUCKET) -> DataFrame:
+    """(band, key, nid, n, comp) of buckets that a task can hold, where components meet.
+
+    ``label`` has the same columns, with buckets of any size.
+    """
+    found, hot = _mixed(label, limit, "mixed")
+    hot = staged(hot, "hot")
+    if hot.limit(1).count():
+        found = found.union(_in_blocks(hot.filter("stray_blocks = 1")))
+        many = hot.filter("stray_blocks > 1")
+        if many.limit(1).count():
+            fine, still = _mixed(staged(_cut(many, nodes), "cut"), limit, "mixed-again")
+            found = found.union(fine).union(_in_blocks(staged(still, "still-hot")))
+    return staged(found, "crossing")
 
 
 def _in_buckets(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -372,19 +430,18 @@ def clusters(docs: DataFrame, limit: int = BUCKET, miss: float = MISS) -> DataFr
     nodes = rows.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = staged(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     bounds = least_agreement(miss)
-    members = staged(band_members(nodes, limit), "members")
+    members = band_members(nodes)
 
-    grouped = _in_buckets(members.withColumn("comp", F.col("nid")), nodes)
+    grouped = _in_buckets(in_pieces(members, limit).withColumn("comp", F.col("nid")), nodes)
     first = grouped.mapInArrow(_owner(lambda rows: _best_partners(rows, bounds), PAIR), "a long, b long").distinct()
     edges = staged(_verified(docs, nodes, staged(first, "pairs")), "edges")
     roots = components(edges)
 
     label = members.join(roots, F.col("nid") == F.col("node"), "left").select(
-        "band", "key", "nid", F.coalesce("root", "nid").alias("comp")
+        "band", "key", "nid", "n", F.coalesce("root", "nid").alias("comp")
     )
-    label = staged(label, "labelled")
-    mixed = label.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("band", "key")
-    grouped = _in_buckets(label.join(mixed, ["band", "key"], "left_semi"), nodes)
+    label = crossing_buckets(staged(label, "labelled"), nodes, limit).drop("n")
+    grouped = _in_buckets(label, nodes)
     opened = grouped.mapInArrow(_owner(lambda rows: _open_members(rows, bounds), MEMBER), "band long, key long, nid long")
     opened = staged(opened, "open")
     sets = _shingle_sets(docs, nodes, opened).withColumnRenamed("shingles", "sets")
