@@ -4,13 +4,20 @@
    distinct normalised text and memory-bounded chunk, with the rows it stands
    for.  That combines copies before any shuffle.
 2. A directory over the top bits of the 64-bit key is doubled until no bucket
-   is over its page size (or ``MAX_DEPTH`` is reached); it holds at most
-   2**MAX_DEPTH slots whatever the input.
-3. Owner tasks process whole buckets, which are key ranges, as a sorted stream:
-   entries of one key form chains by comparing the bytes of their texts, so
-   keys that collide stay apart.  A hot text costs its owner one entry per
-   chunk, never one per row.
-4. The resolved entries are written as the index and joined to the rows by
+   is over its page size.  The page grows with the input, to an eighth of what
+   2**MAX_DEPTH equal buckets would hold at least, so that the directory stays
+   within 2**MAX_DEPTH slots; owners stream, so a page needs no memory.
+3. Entries whose key no other entry has (proven by a Bloom filter of the keys
+   that several have, 8 MB at most) are chains of their own; their texts are not
+   shuffled.
+4. Owner tasks process buckets, which are key ranges, as sorted streams: entries
+   of one key form chains by comparing the bytes of their texts, so keys that
+   collide stay apart.  They do so in two rounds.  First every bucket is dealt
+   into ``SLICES`` owners and each hands on one leader for each of its chains;
+   then the leaders of a bucket meet in one owner.  So a hot text, of which each
+   chunk has an entry, neither lands in one task nor gathers in memory: links to
+   leaders are written as they are found.
+5. The resolved entries are written as the index and joined to the rows by
    entry number.
 
 Texts are equal when identical after deleting ``[\\x20\\x09-\\x0D]``.  Of equal
@@ -24,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -32,11 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from . import bloom
 from .common import as_bytes, prepare, slices, staged, table
 
 SPACES = b" \t\n\x0b\x0c\r"
 MAX_DEPTH = 16
 PAGE_BYTES = 256 << 10
+SLICES = 64
 CHUNK_BYTES = 24 << 20
 
 ENTRY = T.StructType(
@@ -52,19 +62,6 @@ ENTRY = T.StructType(
     ]
 )
 
-RESOLVED = T.StructType(
-    [
-        T.StructField("x_bucket", T.IntegerType()),
-        T.StructField("x_key", T.LongType()),
-        T.StructField("x_chain", T.IntegerType()),
-        T.StructField("x_entry", T.LongType()),
-        T.StructField("x_keep_entry", T.LongType()),
-        T.StructField("x_keep_id", T.LongType()),
-        T.StructField("x_size", T.LongType()),
-    ]
-)
-
-
 def normalised(text: bytes) -> bytes:
     return text.translate(None, SPACES)
 
@@ -167,72 +164,137 @@ class Directory:
             waiting.append((new, [x for x in content if x[0] >> bit & 1]))
 
 
-def owner(text: str):
-    """A mapInArrow function over entries sorted by (bucket, key, entry)."""
-    out = to_arrow_schema(RESOLVED)
+CHAIN = T.StructType(
+    [
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("e_key", T.LongType()),
+        T.StructField("link", T.LongType()),
+        T.StructField("leader", T.LongType()),
+        T.StructField("chain", T.IntegerType()),
+        T.StructField("keep_entry", T.LongType()),
+        T.StructField("e_chars", T.LongType()),
+        T.StructField("e_best", T.LongType()),
+        T.StructField("e_count", T.LongType()),
+        T.StructField("text", T.BinaryType()),
+    ]
+)
+
+
+def owner(texts_out: bool):
+    """A mapInArrow function over entries sorted by (bucket, key, entry).
 
-    def close(bucket: int, key: int, chains: list, rows: list) -> None:
-        for number, (_, rank, keep, keep_id, size, members) in enumerate(chains):
-            rows.extend((bucket, key, number, e, keep, keep_id, size) for e in members)
+    It writes a row for each entry, with its ``link`` and the ``leader`` of its
+    chain, as soon as it is read, and a row for each chain, without a link, when
+    its key ends.  Only the chains of the key at hand are held.
+    """
+    out = to_arrow_schema(CHAIN)
+
+    def ended(bucket: int, key: int, chains: list) -> list[tuple]:
+        return [
+            (bucket, key, None, leader, number, keep, -rank[0], keep_id, size, norm if texts_out else None)
+            for number, (norm, rank, keep, keep_id, size, leader) in enumerate(chains)
+        ]
 
     def pack(rows: list) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * len(out)
+        columns = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, chains, rows = None, [], []
-        for batch in batches:
-            texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
-            light = batch.select(["bucket", "e_key", "e_entry", "e_chars", "e_best", "e_count"]).to_pydict()
+        current, chains, rows, size = None, [], [], 0
+        for batch in slices(batches, "text"):
+            texts = as_bytes(batch.column("text"))
+            light = batch.select(["bucket", "e_key", "e_entry", "keep_entry", "e_chars", "e_best", "e_count"]).to_pydict()
             for i, raw in enumerate(texts):
                 at = (light["bucket"][i], light["e_key"][i])
                 if at != current:
                     if current is not None:
-                        close(*current, chains, rows)
+                        rows += ended(*current, chains)
+                        size += sum(len(c[0]) for c in chains)
                     current, chains = at, []
-                    if len(rows) >= 20_000:
+                    if len(rows) >= 20_000 or size > CHUNK_BYTES:
                         yield pack(rows)
-                        rows = []
-                norm, entry, best = normalised(raw), light["e_entry"][i], light["e_best"][i]
-                rank = (*_rank(light["e_chars"][i], best), entry)
-                for chain in chains:
-                    if chain[0] == norm:  # bytes, not hashes
-                        chain[4] += light["e_count"][i]
-                        chain[5].append(entry)
-                        if rank < chain[1]:
-                            chain[1:4] = rank, entry, best
-                        break
+                        rows, size = [], 0
+                entry, keep, best = light["e_entry"][i], light["keep_entry"][i], light["e_best"][i]
+                norm, rank = normalised(raw), (*_rank(light["e_chars"][i], best), keep)
+                number = next((k for k, c in enumerate(chains) if c[0] == norm), None)  # bytes, not hashes
+                if number is None:
+                    number = len(chains)
+                    chains.append([norm, rank, keep, best, light["e_count"][i], entry])
                 else:
-                    chains.append([norm, rank, entry, best, light["e_count"][i], [entry]])
+                    chain = chains[number]
+                    chain[4] += light["e_count"][i]
+                    if rank < chain[1]:
+                        chain[1:4] = rank, keep, best
+                rows.append((*at, entry, chains[number][5], number, None, None, None, None, None))
+                if len(rows) >= 100_000:
+                    yield pack(rows)
+                    rows, size = [], 0
         if current is not None:
-            close(*current, chains, rows)
-        if rows:
-            yield pack(rows)
+            yield pack(rows + ended(*current, chains))
 
     return run
 
 
-def build_index(docs: DataFrame, text: str, id_col: str, page: int = PAGE_BYTES, key=key_of) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _chained(placed: DataFrame, deal: list[str], texts_out: bool, name: str) -> tuple[DataFrame, DataFrame]:
+    """Links of entries to leaders, and the chains that they form."""
+    met = placed.repartition(*deal).sortWithinPartitions(*deal, "e_key", "e_entry")
+    rows = staged(met.mapInArrow(owner(texts_out), CHAIN), name)
+    return rows.filter("link IS NOT NULL"), rows.filter("link IS NULL")
+
+
+def _shared_keys(entries: DataFrame) -> np.ndarray:
+    """A Bloom filter of the keys that several entries have."""
+    shared = staged(entries.groupBy("e_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("e_key"), "dedup-shared")
+    return bloom.build(shared.select(F.xxhash64("e_key").alias("h")), bloom.log2_bits(shared.count()))
+
+
+def _keyed(entries: DataFrame, bits: np.ndarray, shared: bool) -> DataFrame:
+    """The entries whose key other entries may have, or those where none has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = bloom.test(bits, batch.column("h").to_numpy())
+                yield batch.remove_column(batch.schema.get_field_index("h")).filter(pa.array(found == shared))
+
+    return entries.select("*", F.xxhash64("e_key").alias("h")).mapInArrow(run, entries.schema)
+
+
+def build_index(
+    docs: DataFrame, text: str, id_col: str, page: int = PAGE_BYTES, key=key_of, slices_: int = SLICES
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entries, directory, resolved entries), all written to the shared folder."""
     spark = prepare(docs.sparkSession)
     write, schema = entry_writer(docs.schema, text, id_col, key)
     entries = staged(docs.mapInArrow(write, schema), "dedup-entries")
     prefix = F.shiftrightunsigned("e_key", 64 - MAX_DEPTH).cast("int")
     weights = entries.groupBy(prefix.alias("p")).agg(F.sum(F.col("e_bytes") + 64).alias("w")).collect()
-    tree = Directory({r.p: r.w for r in weights}, page)
+    tree = Directory({r.p: r.w for r in weights}, max(page, sum(r.w for r in weights) >> (MAX_DEPTH - 3)))
     directory = staged(
         spark.createDataFrame(list(enumerate(tree.slots)), "slot int, bucket int").coalesce(1), "dedup-directory"
     )
     slot = F.shiftrightunsigned("e_key", 64 - tree.depth).cast("int") if tree.depth else F.lit(0)
-    placed = (
-        entries.select(slot.alias("slot"), "e_key", "e_entry", "e_chars", "e_best", F.size("e_ids").cast("long").alias("e_count"), text)
-        .join(F.broadcast(directory), "slot")  # at most 2**MAX_DEPTH slots
-        .drop("slot")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "e_key", "e_entry")
+    bits = _shared_keys(entries)
+    light = entries.select("e_key", "e_entry", "e_chars", "e_best", F.size("e_ids").cast("long").alias("e_count"), F.col(text).cast("binary").alias("text"))
+    placed = lambda rows: rows.select("*", slot.alias("slot")).join(F.broadcast(directory), "slot").drop("slot")  # noqa: E731 -- at most 2**MAX_DEPTH slots
+    alone = placed(_keyed(light.drop("text"), bits, False)).select(
+        F.col("bucket").alias("x_bucket"), F.col("e_key").alias("x_key"), F.lit(0).alias("x_chain"), F.col("e_entry").alias("x_entry"),
+        F.col("e_entry").alias("x_keep_entry"), F.col("e_best").alias("x_keep_id"), F.col("e_count").alias("x_size"),
+    )
+    shared = placed(_keyed(light, bits, True)).withColumn("keep_entry", F.col("e_entry")).withColumn("slice", F.pmod(F.shiftright("e_entry", 40), F.lit(slices_)))
+    links, chains = _chained(shared, ["bucket", "slice"], True, "dedup-slices")
+    leaders, resolved = _chained(
+        chains.select("bucket", "e_key", F.col("leader").alias("e_entry"), "keep_entry", "e_chars", "e_best", "e_count", "text"),
+        ["bucket"], False, "dedup-chains",
+    )
+    ends = leaders.select(F.col("link").alias("first"), F.col("leader").alias("last")).join(
+        resolved.select(F.col("leader").alias("last"), "chain", "keep_entry", "e_best", "e_count"), "last"
     )
-    resolved = staged(placed.mapInArrow(owner(text), RESOLVED), "dedup-index")
-    return entries, directory, resolved
+    together = links.select("bucket", "e_key", "link", F.col("leader").alias("first")).join(staged(ends, "dedup-ends"), "first").select(
+        F.col("bucket").alias("x_bucket"), F.col("e_key").alias("x_key"), F.col("chain").alias("x_chain"), F.col("link").alias("x_entry"),
+        F.col("keep_entry").alias("x_keep_entry"), F.col("e_best").alias("x_keep_id"), F.col("e_count").alias("x_size"),
+    )
+    return entries, directory, staged(alone.union(together), "dedup-index")
 
 
 def grouped(entries: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -37,6 +37,35 @@ def test_colliding_keys_are_told_apart_by_bytes(spark, docs_of):
     assert sorted(str((r.e_id, r.keep_id, r.group_size, r.e_sha)) for r in got) == expected(rows)
 
 
+def test_a_hot_text_is_shared_among_owners(spark, docs_of, monkeypatch):
+    """Every task has entries of one text; no owner's memory grows with them."""
+    monkeypatch.setattr(D, "CHUNK_BYTES", 1)  # an entry for each batch
+    rows = [(i, "hot  text" if i % 3 == 0 else f"text {i % 50}") for i in range(900)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        for slices_ in (1, 3):
+            got = run(docs_of(rows, 6), slices_=slices_)
+            assert sorted(str((r.e_id, r.keep_id, r.group_size, r.e_sha)) for r in got) == expected(rows)
+            assert sum(r.kept for r in got) == len({r.e_sha for r in got})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
+
+
+def test_an_owner_writes_links_as_it_reads():
+    import pyarrow as pa
+
+    def entries():
+        for k in range(40):
+            n = 5_000
+            at = range(k * n, (k + 1) * n)
+            yield pa.RecordBatch.from_pydict(
+                {"text": [b"same"] * n, "bucket": [0] * n, "e_key": [1] * n, "e_entry": list(at), "keep_entry": list(at), "e_chars": [4] * n, "e_best": list(at), "e_count": [1] * n}
+            )
+
+    sizes = [b.num_rows for b in D.owner(True)(entries())]
+    assert len(sizes) > 1 and max(sizes) <= 100_001 and sum(sizes) == 200_001
+
+
 def test_directory_doubles_until_pages_fit():
     weights = {p: 10 for p in range(0, 1 << 16, 64)} | {77: 5000}
     tree = D.Directory(weights, page=200)
