@@ -1,20 +1,26 @@
 """Packing documents into sequences by order-preserving dynamic programming.
 
 The token stream of a partition, document after document, is cut into windows
-of at most ``LENGTH`` tokens.  A cut may fall at the end of a document (free),
-at the end of a sentence (``SENTENCE``) or, only inside sentences that are long, every ``HARD_EVERY`` tokens (``HARD``).  With b(j) the stream position of
-cut j, the best cost up to it is
-
-    f(j) = min { f(i) + LENGTH - (b(j) - b(i)) : b(j) - b(i) <= LENGTH } + penalty(j)
-
-Padding is linear in the window, so f(i) + b(i) does not depend on j and the
-minimum over the sliding range of i is the head of a monotone queue: each cut
-enters and leaves it once.  Paths are followed back and written out whenever
-``SEGMENT`` tokens have gathered, so memory does not grow with the partition.
-
-The last window of a partition is padded to ``LENGTH``, or cut at powers of two
-(which are not padded) where that is cheaper.  Sequence numbers hold the task's
-partition and a count, so no shuffle is needed.
+of at most ``LENGTH`` tokens.  A cut may fall at the end of a document (free) or
+at the end of a sentence or line (``SENTENCE``); only inside sentences that no window
+can hold also every ``HARD_EVERY`` tokens (``HARD``).  With b(j) the stream
+position of cut j, the best cost up to it is
+
+    f(j) = penalty(j) + min of f(i) + LENGTH - (b(j) - b(i))  where b(j) - b(i) <= LENGTH
+                              f(i) + SHORT                    where b(j) - b(i) is one of POWERS
+
+as sequences of a power of two are not padded.  Padding is linear in the window,
+so f(i) + b(i) does not depend on j and the first minimum, over the sliding
+range of i, is the head of a monotone queue: each cut enters and leaves it once.
+The second is one look for each power.  The queue lives as long as the
+partition.  Whenever ``SEGMENT`` tokens have gathered, the windows that the best
+paths of all cuts within reach have in common are written out, as no later cut
+can change them.  Where paths still differ after ``PENDING`` tokens, the
+cheapest one is followed: that bounds the memory and costs one window's padding
+in as many tokens at most.
+
+The last window of a partition is cut alike, at any power of two.
+Sequence numbers hold the task's partition and a count, so no shuffle is needed.
 
 Defined results: null and empty texts are the one closing token; repeated rows
 are packed one by one; ties go to the later cut; an empty table gives no piece.
@@ -24,10 +30,13 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import struct
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +48,15 @@ from .common import as_bytes, prepare, slices, table
 LENGTH = 2048
 CLOSE = 1
 SENTENCE, HARD, HARD_EVERY = 2, 10, 24
-SEGMENT = 1 << 19
+POWERS, SHORT = (1024, 512, 256, 128), 4
+SEGMENT, PENDING = 1 << 18, 1 << 21
 WORDS = 600_000
 TOKENIZER = "word_bpe_49k.json"
 #: The top bit of a cached id says that a sentence ends with its word.
 END = 1 << 31
-ENDERS = (b".", b"!", b"?", b'."', b'!"', b'?"', b".)", b"\xe2\x80\xa6", b"\xe3\x80\x82")
+#: A sentence ends with a word whose closing marks hold one of STOPS.
+STOPS = set(".!?\u2026\u3002")
+MARKS = string.punctuation + "\u2026\u3002\u201c\u201d\u2018\u2019\xab\xbb"
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long"
@@ -105,7 +117,7 @@ class Words(dict):
         plain = self.plain(text)
         if not plain:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            if ids and word.endswith(ENDERS):
+            if ids and STOPS & set(text[len(text.rstrip(MARKS)) :]):
                 ids[-1] |= END
             return pack(ids)
         stem, mark = plain.groups()
@@ -118,7 +130,7 @@ class Words(dict):
             end = self.marks.get(mark)
             if end is None:
                 ids = [t.id for t in self.model(mark)]
-                ids[-1] |= END * mark.encode().endswith(ENDERS)
+                ids[-1] |= END * bool(STOPS & set(mark))
                 end = pack(ids)
                 if len(self.marks) < 10_000:
                     self.marks[mark] = end
@@ -144,9 +156,17 @@ class Encoder:
         self.words = Words(path)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids with sentence marks; the closing token is added to each text."""
-        get, close = self.words.__getitem__, CLOSE.to_bytes(4, "little")
-        return [np.frombuffer(b"".join([*map(get, t.split()), close]), dtype="<u4") for t in texts]
+        """Ids with marks where sentences and lines end; each text gets the closing token."""
+        get, close, out = self.words.__getitem__, CLOSE.to_bytes(4, "little"), []
+        for text in texts:
+            lines = [b"".join(map(get, line.split())) for line in text.split(b"\n")]
+            ids = np.frombuffer(b"".join([*lines, close]), dtype="<u4")
+            if len(lines) > 1:
+                ends = np.cumsum([len(x) for x in lines if x]) // 4 - 1
+                ids = ids.copy()
+                ids[ends.astype(np.int64)] |= np.uint32(END)
+            out.append(ids)
+        return out
 
 
 def cut_points(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +176,9 @@ def cut_points(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.append(ends[ends < n], n)
     cost = np.append(np.full(len(at) - 1, SENTENCE), 0)
     gaps = np.diff(at, prepend=0)
-    if gaps.max() > HARD_EVERY:
-        hard = np.concatenate([np.arange(b - g + HARD_EVERY, b, HARD_EVERY) for b, g in zip(at, gaps, strict=True) if g > HARD_EVERY])
+    long = gaps > LENGTH
+    if long.any():
+        hard = np.concatenate([np.arange(b - g + HARD_EVERY, b, HARD_EVERY) for b, g in zip(at[long], gaps[long], strict=True)])
         at = np.concatenate([at, hard])
         cost = np.concatenate([cost, np.full(len(hard), HARD)])
         order = np.argsort(at, kind="stable")
@@ -165,86 +186,144 @@ def cut_points(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, cost
 
 
-def best_cuts(at: list[int], cost: list[int], length: int = LENGTH) -> list[int]:
-    """For each cut the number of the cut before it on the best path, from -1.
+class Cuts:
+    """The dynamic program over the cuts of a stream that goes on.
 
-    Cut -1 is position 0 with cost 0.  Gaps are at most ``length``.
+    Cuts before ``first`` are settled; cut ``first`` is the root of all paths.
     """
-    # the monotone queue holds (key, number, position) with rising keys
-    queue = deque([(0, -1, 0)])
-    popleft, pop, append = queue.popleft, queue.pop, queue.append
-    before = []
-    number = 0
-    for b, c in zip(at, cost, strict=True):
-        low = b - length
-        while queue[0][2] < low:
-            popleft()
-        key, i, _ = queue[0]
-        before.append(i)
-        key += length + c  # f(j) + b(j), as f(j) = f(i) + b(i) + length - b(j) + c
-        while queue and queue[-1][0] >= key:
-            pop()
-        append((key, number, b))
-        number += 1
-    return before
-
-
-def path(at: list[int], before: list[int], last: int) -> list[int]:
-    out = []
-    while last >= 0:
-        out.append(at[last])
-        last = before[last]
-    return out[::-1]
-
-
-def closing(left: int, length: int = LENGTH, cut: int = HARD) -> list[int]:
-    """Windows of the last ``left`` tokens: one that is padded, or powers of two."""
-    powers = [1 << k for k in range(left.bit_length() - 1, -1, -1) if left >> k & 1]
-    return powers if (len(powers) - 1) * cut < length - left else [left]
+
+    def __init__(self, length: int = LENGTH, powers: tuple[int, ...] = POWERS):
+        self.length, self.powers = length, powers
+        self._root(0, 0)
+
+    def _root(self, number: int, position: int) -> None:
+        self.first, self.at, self.cost, self.before, self.best = number, [position], [0], [number], [0]
+        self.number = {position: number}
+        self.queue = deque([(position, number, position)])  # (f + b, number, position), the first rising
+
+    def extend(self, at: list[int], cost: list[int]) -> None:
+        """Gaps between cuts are at most ``length``."""
+        queue, before, best, length, powers = self.queue, self.before, self.best, self.length, self.powers
+        popleft, pop, append, number_of, first = queue.popleft, queue.pop, queue.append, self.number.get, self.first
+        number = first + len(self.at)
+        self.at += at
+        self.cost += cost
+        for b, c in zip(at, cost, strict=True):
+            low = b - length
+            while queue[0][2] < low:
+                popleft()
+            key, i, _ = queue[0]
+            f = key + length - b
+            for power in powers:
+                other = number_of(b - power)
+                if other is not None and best[other - first] + SHORT < f:
+                    i, f = other, best[other - first] + SHORT
+            f += c
+            before.append(i)
+            best.append(f)
+            self.number[b] = number
+            key = f + b
+            while queue and queue[-1][0] >= key:
+                pop()
+            append((key, number, b))
+            number += 1
+
+    def common(self) -> int:
+        """The last cut that the best paths of all cuts within reach have in common."""
+        reach = bisect_left(self.at, self.at[-1] - max(self.powers, default=0))
+        live = {number for _, number, _ in self.queue}.union(range(self.first + reach, self.first + len(self.at)))
+        heap = [-number for number in live]
+        heapify(heap)
+        while len(heap) > 1:
+            number = -heap[0]
+            live.discard(number)
+            parent = self.before[number - self.first]
+            if parent in live:
+                heappop(heap)
+            else:
+                live.add(parent)
+                heapreplace(heap, -parent)
+        return -heap[0]
+
+    def path(self, last: int) -> list[int]:
+        """Positions of the cuts on the best path to ``last`` from the root."""
+        out = []
+        while last > self.first:
+            out.append(self.at[last - self.first])
+            last = self.before[last - self.first]
+        return out[::-1]
+
+    def settle(self, force: bool = False) -> list[int]:
+        """Positions of the cuts that nothing can change any more."""
+        root = self.common()
+        if force and root == self.first:
+            cheapest = min(range(bisect_left(self.at, self.at[-1] - self.length), len(self.at)), key=self.best.__getitem__)
+            root = self.before[cheapest]
+            cuts, skip = self.path(root), root - self.first
+            tail = self.at[skip + 1 :], self.cost[skip + 1 :]
+            self._root(root, self.at[skip])
+            self.extend(*tail)
+            return cuts
+        cuts, skip = self.path(root), root - self.first
+        for position in self.at[:skip]:
+            del self.number[position]
+        self.first, self.at, self.cost = root, self.at[skip:], self.cost[skip:]
+        self.before, self.best = self.before[skip:], self.best[skip:]
+        return cuts
+
+    def rest(self) -> list[int]:
+        """Positions of all cuts to the end of the stream, and the last window."""
+        cuts = self.path(self.first + len(self.at) - 1)
+        # windows at the end are too short to be worth a queue
+        start = next((c for c in reversed(cuts) if c <= self.at[-1] - self.length), self.at[0])
+        after = [b - start for b in self.at if b > start]
+        return [c for c in cuts if c <= start] + [start + x for x in closing(after, self.length)]
+
+
+def closing(ends: list[int], length: int = LENGTH) -> list[int]:
+    """Cuts of the last windows, which may have any power of two as their length."""
+    best = {0: (0, 0)}
+    for b in ends:
+        best[b] = min(
+            (f + (SHORT * (b - a < length) if b - a & (b - a - 1) == 0 else length - (b - a)) + SENTENCE * bool(a), a)
+            for a, (f, _) in best.items()
+            if b - a <= length
+        )
+    cuts, b = [], ends[-1]
+    while b:
+        cuts.append(b)
+        b = best[b][1]
+    return cuts[::-1]
 
 
 class Packer:
     """Packs a stream of documents; pieces come out as columns."""
 
-    def __init__(self, first_sequence: int, length: int = LENGTH, segment: int = SEGMENT):
-        self.sequence, self.length, self.segment = first_sequence, length, segment
+    def __init__(self, first_sequence: int, length: int = LENGTH, segment: int = SEGMENT, pending: int = PENDING):
+        self.sequence, self.segment, self.pending = first_sequence, segment, pending
         self.docs: deque = deque()  # (doc_id, ids, tokens before the stream's start)
-        self.at: list[int] = []
-        self.cost: list[int] = []
-        self.size = 0
+        self.cuts = Cuts(length)
+        self.size = self.done = 0
+        self.next = segment
         self.rows: list[tuple] = []
 
     def add(self, doc_id: int | None, marked: np.ndarray) -> None:
         at, cost = cut_points(marked)
         self.docs.append((doc_id, marked & np.uint32(END - 1), 0))
-        self.at += (at + self.size).tolist()
-        self.cost += cost.tolist()
+        self.cuts.extend((at + self.size).tolist(), cost.tolist())
         self.size += len(marked)
-        while self.size >= self.segment:
-            self._flush(False)
+        if self.size >= self.next:
+            self._write(self.cuts.settle(self.size - self.done > self.pending))
+            self.next = self.size + self.segment
 
     def finish(self) -> None:
-        if self.size:
-            self._flush(True)
-
-    def _flush(self, final: bool) -> None:
-        before = best_cuts(self.at, self.cost, self.length)
-        # every token is cut by now, but the last windows may still change
-        cuts = path(self.at, before, len(before) - 1)
-        if final:
-            if cuts:
-                start = cuts[-2] if len(cuts) > 1 else 0
-                cuts = cuts[:-1] + np.cumsum([start, *closing(self.size - start, self.length)])[1:].tolist()
-        else:
-            cuts = cuts[: max(1, len(cuts) - 4)]
-        done = 0
+        if self.size > self.done:
+            self._write(self.cuts.rest())
+
+    def _write(self, cuts: list[int]) -> None:
         for cut in cuts:
-            self._emit(cut - done)
-            done = cut
-        keep = next((k for k, b in enumerate(self.at) if b > done), len(self.at))
-        self.at = [b - done for b in self.at[keep:]]
-        self.cost = self.cost[keep:]
-        self.size -= done
+            self._emit(cut - self.done)
+            self.done = cut
 
     def _emit(self, tokens: int) -> None:
         offset = 0

@@ -24,6 +24,17 @@ def test_encoder_equals_tokenizer(tokenizer):
         assert (encoder.encode([text.encode()])[0] & (K.END - 1)).tolist() == want
 
 
+def test_sentences_and_lines_are_marked():
+    text = b'One two. Three "four?" five;\n\n six seven\neight... (nine!) ten.%%% e\n'
+    (marked,) = K.Encoder(K.tokenizer_path()).encode([text])
+    ends = np.nonzero(marked & np.uint32(K.END))[0] + 1
+    words, upto = K.Encoder(K.tokenizer_path()), {}
+    for stop in (b"two.", b'four?"', b"five;", b"seven", b"eight...", b"(nine!)", b"ten.%%%", b"e\n"):
+        upto[stop] = len(words.encode([text[: text.index(stop) + len(stop)]])[0]) - 1
+    assert ends.tolist() == sorted(upto.values())
+    assert not marked[-1] & np.uint32(K.END) and K.Encoder(K.tokenizer_path()).encode([b"", b"\n \n"])[1].tolist() == [K.CLOSE]
+
+
 def test_cache_turns_over(tokenizer, monkeypatch):
     monkeypatch.setattr(K, "WORDS", 5)
     encoder = K.Encoder(K.tokenizer_path())
@@ -32,28 +43,71 @@ def test_cache_turns_over(tokenizer, monkeypatch):
     assert len(encoder.words) <= 6
 
 
-def brute(at, cost, length):
+def brute(at, cost, length, powers):
     best = {0: 0}
     for b, c in zip(at, cost, strict=True):
-        best[b] = min(f + length - (b - a) + c for a, f in best.items() if 0 < b - a <= length)
+        best[b] = c + min(f + (K.SHORT if b - a in powers else length - (b - a)) for a, f in best.items() if 0 < b - a <= length)
     return best[at[-1]]
 
 
-def test_dynamic_program_is_optimal():
-    rng = random.Random(5)
-    for _ in range(200):
-        gaps = [rng.randrange(1, 20) for _ in range(rng.randrange(1, 60))]
+def price(cuts, at, cost, length, powers):
+    paid, steps = dict(zip(at, cost, strict=True)), np.diff([0, *cuts])
+    assert steps.max() <= length and steps.min() > 0
+    return sum(K.SHORT if s in powers else length - s for s in steps) + sum(paid[c] for c in cuts)
+
+
+def test_dynamic_program_is_optimal_over_segments():
+    """Cuts settled in between are those of the optimum of the whole stream."""
+    rng, early = random.Random(5), 0
+    for k in range(300):
+        gaps = [rng.randrange(1, 20) for _ in range(rng.randrange(1, 200))]
         at, cost = np.cumsum(gaps).tolist(), [rng.choice([0, 2, 10]) for _ in gaps]
-        before = K.best_cuts(at, cost, 32)
-        cuts = K.path(at, before, len(at) - 1)
-        steps = np.diff([0, *cuts])
-        price = dict(zip(at, cost, strict=True))
-        assert steps.max() <= 32 and sum(32 - s for s in steps) + sum(price[c] for c in cuts) == brute(at, cost, 32)
+        powers = (16, 8) if k % 3 else ()
+        plan, cuts = K.Cuts(32, powers), []
+        for i in range(0, len(at), 7):
+            plan.extend(at[i : i + 7], cost[i : i + 7])
+            if k % 2:
+                cuts += plan.settle()
+        early += len(cuts)
+        cuts += plan.path(plan.first + len(plan.at) - 1)
+        assert price(cuts, at, cost, 32, powers) == brute(at, cost, 32, powers)
+    assert early > 1000
+
+
+def test_regular_sentences_are_settled_within_bounds():
+    """Paths that never meet: memory stays bounded and a window is lost at most."""
+    packer, n = K.Packer(0, 32, 100, 400), 5000
+    packer.cuts = K.Cuts(32, ())
+    for i in range(n):
+        packer.add(i, np.array([5, 6, 7, K.CLOSE], dtype=np.uint32))
+        assert packer.size - packer.done <= 700
+    packer.finish()
+    used = defaultdict(int)
+    for r in packer.rows:
+        used[r[5]] += r[2]
+    assert sum(used.values()) == 4 * n and sum(32 - x for x in used.values()) <= 32 * (4 * n // 400 + 1)
 
 
 def test_closing_windows():
-    assert K.closing(2048) == [2048] and K.closing(2040) == [2040] and sum(K.closing(1300)) == 1300
-    assert K.closing(1024) == [1024] and K.closing(1) == [1]
+    assert K.closing([2040]) == [2040] and K.closing([100, 1024]) == [1024]
+    assert K.closing([16, 1040]) == [16, 1040] and K.closing([1]) == [1]
+    assert K.closing([24, 700, 1300]) == [1300] and K.closing([2000, 2500]) in ([2000, 2500], [500, 2500])
+
+
+def test_cuts_fall_at_sentences_and_documents_only(spark, tokenizer):
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    encoder, texts = K.Encoder(K.tokenizer_path()), {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    inside = 0
+    for r in K.query(spark, folder).collect():
+        if r.start:
+            marked = encoder.encode([texts[r.doc_id]])[0]
+            if not marked[r.start - 1] & np.uint32(K.END):
+                inside += 1
+                ends = np.append(0, np.nonzero(marked & np.uint32(K.END))[0] + 1)
+                low = ends[ends <= r.start].max()
+                high = min([*ends[ends > r.start], len(marked)])
+                assert high - low > K.LENGTH, (r.doc_id, r.start, low, high)
 
 
 def test_pieces_cover_every_token(spark, docs_of, odd_texts, tokenizer):
