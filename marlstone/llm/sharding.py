@@ -1,14 +1,18 @@
 """K-d tree sharding with DataFrame operations only.
 
 Nodes are split at the distributed weighted median (weights are bytes) along
-their widest metadata dimension until each leaf is one shard.  A median is
-found by histograms over 12-bit digits: every round keeps the digit in which
-half of the node's bytes is reached, so no node's rows meet in one task and the
-driver sees one row per node and round.
-
-Equal texts share all coordinates (those of the smallest doc_id among them),
-so copies stay in one shard; only a group that weighs over a leaf is cut, by a
-hash of doc_id.
+their widest metadata dimension until each leaf is one shard.  Every level of
+the tree reads the points once and makes a histogram of the bytes of each node
+along each dimension, of 2**16 bins at most.  From it come a node's weight, its
+widest dimension and the bin in which its median lies.  Where that bin weighs
+more than ``FINE`` of a leaf, its rows are read again by the next 16 bits of
+their sort key, until the cut is as fine; no node's rows meet in one task, and
+the driver sees one row per node and dimension.
+
+A row's sort key is its coordinate, a hash of its text and a hash of its id.
+Equal texts share all coordinates (those of the smallest doc_id among them), so
+copies stay in one shard; only a group that weighs over a leaf is cut, by the
+hash of doc_id.  The cut goes to the nearer end of the last bin or group.
 
 Defined results: null or empty texts have size 1; null metadata have the
 coordinate 0; fully identical rows share a shard and get slots of their own; an
@@ -26,12 +30,14 @@ from .common import staged, table, text_or_empty
 from .ranking import expanded, numbered_runs, piece_bits
 
 SHARDS = 16
-DIGIT = 12
+DIGIT = 16
 #: Bits of a coordinate, of the text hash and of the id hash in a sort key.
-BITS = {"c": 24, "t": 48, "h": 36}
+BITS = {"c": 16, "t": 48, "h": 32}
 TOTAL_BITS = sum(BITS.values())
 #: A group of equal texts is cut only where it weighs more than this part of a leaf: where no leaf holds it.
 WHOLE = 1.0
+#: A cut may miss a median by half this part of a leaf.
+FINE = 0.0005
 DIMENSIONS = ("d_size", "d_source", "d_lang", "d_id")
 
 
@@ -47,15 +53,17 @@ class Node:
     high: Node | None = None
 
 
-def _digit(dim: Column, start: int) -> Column:
-    """Bits ``start .. start + DIGIT`` of the key, counted from its top."""
-    if start < BITS["c"]:
-        column, top, width = dim, start, BITS["c"]
-    elif start < BITS["c"] + BITS["t"]:
-        column, top, width = F.col("t"), start - BITS["c"], BITS["t"]
-    else:
-        column, top, width = F.col("h"), start - BITS["c"] - BITS["t"], BITS["h"]
-    return F.shiftright(column, width - top - DIGIT).bitwiseAND(F.lit((1 << DIGIT) - 1))
+# Expressions over the tree are SQL text: as columns, each comparison would be a
+# call to the JVM, and there are hundreds in a level.
+
+
+def _digit(dim: str, start: int) -> str:
+    """Bits ``start .. start + DIGIT`` of the sort key along a dimension, counted from its top."""
+    for column, width in ((dim, BITS["c"]), ("t", BITS["t"]), ("h", BITS["h"])):
+        if start < width:
+            return f"(shiftright({column}, {width - start - DIGIT}) & {(1 << DIGIT) - 1})"
+        start -= width
+    raise ValueError("beyond the key")
 
 
 def _parts(key: int) -> tuple[int, int, int]:
@@ -63,17 +71,32 @@ def _parts(key: int) -> tuple[int, int, int]:
     return key >> (h + t), (key >> h) & ((1 << t) - 1), key & ((1 << h) - 1)
 
 
-def _below(dim: Column, key: int) -> Column:
+def _begins(dim: str, key: int, bits: int) -> str:
+    """Whether the first ``bits`` bits of a row's sort key are those of ``key``."""
+    tests = []
+    for column, width, part in zip((dim, "t", "h"), BITS.values(), _parts(key), strict=True):
+        if bits > 0:
+            off = max(0, width - bits)
+            tests.append(f"shiftright({column}, {off}) = {part >> off}L")
+        bits -= width
+    return " AND ".join(tests)
+
+
+def _below(dim: str, key: int) -> str:
     """Whether a row's sort key is under ``key``."""
-    c, t, h = (F.lit(x).cast("long") for x in _parts(key))
-    return (dim < c) | ((dim == c) & ((F.col("t") < t) | ((F.col("t") == t) & (F.col("h") < h))))
+    c, t, h = _parts(key)
+    return f"({dim} < {c}L OR ({dim} = {c}L AND (t < {t}L OR (t = {t}L AND h < {h}L))))"
 
 
-def _place(node: Node, leaf) -> Column:
+def _placed(node: Node, leaf) -> str:
     if node.split is None:
-        return leaf(node)
-    dim, key = node.split
-    return F.when(_below(F.col(dim), key), _place(node.low, leaf)).otherwise(_place(node.high, leaf))
+        return str(leaf(node))
+    return f"IF({_below(*node.split)}, {_placed(node.low, leaf)}, {_placed(node.high, leaf)})"
+
+
+def _place(node: Node, leaf) -> Column:
+    """What ``leaf`` gives the leaf under ``node`` that a row falls into."""
+    return F.expr(_placed(node, leaf))
 
 
 def coordinates(docs: DataFrame) -> DataFrame:
@@ -92,7 +115,7 @@ def coordinates(docs: DataFrame) -> DataFrame:
     # written, so that the join below stands on plain scans and can split hot texts
     groups = staged(staged_rows.groupBy("__text", "size").agg(F.min("__meta").alias("__of")), "kd-groups")
     span = groups.agg(F.min("__of.doc_id").alias("a"), F.max("__of.doc_id").alias("b")).first()
-    least, width = span.a or 0, (span.b or 0) - (span.a or 0) + 1
+    least, width = span.a or 0, (span.b or 0) - (span.a or 0) + 1  # Python's integers have no bound
     full = float(1 << BITS["c"])
     name = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.shiftrightunsigned(F.xxhash64(c), 64 - BITS["c"])).cast("long")
     groups = groups.select(
@@ -101,49 +124,73 @@ def coordinates(docs: DataFrame) -> DataFrame:
         F.floor(F.least(F.log2("size") / 40, F.lit(1.0)) * (full - 1)).cast("long").alias("d_size"),
         name("__of.source").alias("d_source"),
         name("__of.lang").alias("d_lang"),
-        F.coalesce(F.floor((F.col("__of.doc_id") - F.lit(least)) / F.lit(float(width)) * (full - 1)), F.lit(0)).cast("long").alias("d_id"),
+        # doubles, as the difference of two ids may be no long
+        F.coalesce(F.floor((F.col("__of.doc_id").cast("double") - F.lit(float(least))) / F.lit(float(width)) * (full - 1)), F.lit(0)).cast("long").alias("d_id"),
     )
     return staged_rows.join(groups, (F.col("__text") == F.col("__text2")) & (F.col("size") == F.col("__size2"))).select(
         "doc_id", "size", "crc", F.shiftrightunsigned("__text", 64 - BITS["t"]).alias("t"), "h", *DIMENSIONS
     )
 
 
-def _medians(rows: DataFrame, nodes: dict[int, Node], dims: dict[int, str], goals: dict[int, float], leaf: float) -> dict[int, int]:
+def _nearer(low: int, step: int, before: float, weight: float, goal: float) -> int:
+    """The end of the bin low .. low + step at which the part below is nearer its goal."""
+    return low if goal - before < before + weight - goal and before > 0 else low + step
+
+
+def _weighed() -> list[Column]:
+    """The bytes of a bin, and whether it holds several texts."""
+    return [F.sum("size").alias("w"), (F.min("t") < F.max("t")).alias("several")]
+
+
+def _crossings(bins: DataFrame, goals: DataFrame) -> list:
+    """For each node of ``goals`` its bin in which the bytes below reach the goal.
+
+    ``bins`` has node, dim, digit and w; a node has 2**DIGIT bins at most.
+    """
+    upto = Window.partitionBy("node").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+    found = bins.join(F.broadcast(goals), ["node", "dim"]).withColumn("upto", F.sum("w").over(upto)).filter("upto >= goal")
+    return found.groupBy("node").agg(F.min_by(F.struct("digit", "w", "upto", "several"), "digit").alias("x")).select("node", "x.*").collect()
+
+
+def _level(rows: DataFrame, place: Column, full: dict[str, int]) -> tuple[DataFrame, dict[int, dict]]:
+    """Histograms of the nodes along all dimensions, and what they say of each node."""
+    along = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(d).alias("digit")) for i, d in enumerate(DIMENSIONS)]))
+    bins = rows.select(place.alias("node"), "size", "t", along.alias("x")).filter("node >= 0")
+    bins = staged(bins.groupBy("node", "x.dim", "x.digit").agg(*_weighed()), "kd-bins")
+    found: dict[int, dict] = {}
+    for r in bins.groupBy("node", "dim").agg(F.sum("w").alias("w"), F.min("digit").alias("lo"), F.max("digit").alias("hi")).collect():
+        found.setdefault(r.node, {"w": r.w, "span": {}})["span"][DIMENSIONS[r.dim]] = r.hi - r.lo
+    if not full:
+        full.update({d: max(1, n) for d, n in found[0]["span"].items()} if 0 in found else {})
+    for node in found.values():
+        node["dim"] = max(DIMENSIONS, key=lambda d: node["span"][d] / full[d])
+    return bins, found
+
+
+def _medians(spark: SparkSession, rows: DataFrame, place: Column, bins: DataFrame, dims: dict[int, str], goals: dict[int, float], leaf: float) -> dict[int, int]:
     """For each node the key at which its rows below weigh about its goal."""
     keys: dict[int, int] = {}
-    prefix = dict.fromkeys(nodes, 0)
-    passed = dict.fromkeys(nodes, 0.0)
-    open_nodes = set(nodes)
+    prefix, passed, open_nodes = dict.fromkeys(dims, 0), dict.fromkeys(dims, 0.0), set(dims)
     for start in range(0, TOTAL_BITS, DIGIT):
         if not open_nodes:
             break
         rest = TOTAL_BITS - start
-        dim = F.coalesce(*[F.when(F.col("node") == n, F.col(dims[n])) for n in sorted(open_nodes)])
-        inside = F.lit(False)
-        for n in sorted(open_nodes):
-            here = F.col("node") == n
-            if start:
-                here &= ~_below(F.col(dims[n]), prefix[n]) & _below(F.col(dims[n]), prefix[n] + (1 << rest))
-            inside |= here
-        bins = rows.filter(inside).groupBy("node", _digit(dim, start).alias("digit")).agg(F.sum("size").alias("w"))
-        upto = Window.partitionBy("node").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
-        gone = F.coalesce(*[F.when(F.col("node") == n, F.lit(goals[n] - passed[n])) for n in sorted(open_nodes)])
-        crossing = (
-            bins.withColumn("upto", F.sum("w").over(upto))
-            .filter(F.col("upto") >= gone)
-            .groupBy("node")
-            .agg(F.min_by(F.struct("digit", "w", "upto"), "digit").alias("x"))
-            .select("node", "x.*")
-            .collect()
-        )
+        step = 1 << (rest - DIGIT)
+        if start:
+            nodes = sorted(open_nodes)
+            inside = " OR ".join(f"(node = {n} AND {_begins(dims[n], prefix[n], start)})" for n in nodes)
+            digit = "CASE node " + " ".join(f"WHEN {n} THEN {_digit(dims[n], start)}" for n in nodes) + " END"
+            bins = rows.withColumn("node", place).filter(inside).groupBy("node", F.expr(digit).alias("digit")).agg(*_weighed())
+            bins = bins.withColumn("dim", F.lit(0))
+        wanted = [(n, 0 if start else DIMENSIONS.index(dims[n]), float(goals[n] - passed[n])) for n in sorted(open_nodes)]
+        crossing = _crossings(bins, spark.createDataFrame(wanted, "node int, dim int, goal double"))
         for row in crossing:
-            n, step = row.node, 1 << (rest - DIGIT)
+            n = row.node
             low, before = prefix[n] + row.digit * step, passed[n] + row.upto - row.w
-            after = before + row.w
-            whole_group = start + DIGIT == BITS["c"] + BITS["t"] and row.w <= WHOLE * leaf
-            if whole_group or rest == DIGIT or after == goals[n]:
-                near_low = goals[n] - before < after - goals[n] and before > 0
-                keys[n] = low if near_low else low + step
+            # a bin of one text is as fine as can be, unless no leaf holds it
+            group = not row.several and row.w <= WHOLE * leaf
+            if group or rest == DIGIT or row.w <= FINE * leaf:
+                keys[n] = _nearer(low, step, before, row.w, goals[n])
                 open_nodes.discard(n)
             else:
                 prefix[n], passed[n] = low, before
@@ -155,34 +202,21 @@ def _medians(rows: DataFrame, nodes: dict[int, Node], dims: dict[int, str], goal
 
 def build_tree(rows: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None) -> Node:
     """The tree over ``rows``; with ``target_bytes`` it has as many leaves as needed."""
-    span = [f(d).alias(f"{a}_{d}") for d in DIMENSIONS for a, f in (("lo", F.min), ("hi", F.max))]
-    root, full = None, {}
-    front: list[Node] = []
-    while root is None or front:
-        if root is None:
-            place = F.lit(0)
-        else:
-            place = _place(root, lambda n: F.lit(n.name if n in front else -1))
-        placed = rows.withColumn("node", place)
-        stats = {r.node: r for r in placed.groupBy("node").agg(F.sum("size").alias("w"), *span).collect()}
-        if root is None:
-            total = stats[0].w if 0 in stats else 0
-            leaves = shards if target_bytes is None else max(1, -(-total // target_bytes))
-            root = Node(0, 0, leaves)
-            front = [root] if leaves > 1 else []
-            full = {d: max(1, stats[0][f"hi_{d}"] - stats[0][f"lo_{d}"]) for d in DIMENSIONS} if 0 in stats else {}
-            leaf = total / max(leaves, 1)
-            if not front or not total:
+    root, front, full, leaf = Node(0, 0, shards or 1), [], {}, 0.0
+    front.append(root)
+    while front:
+        open_names = {n.name for n in front}
+        place = _place(root, lambda n, names=open_names: n.name if n.name in names else -1)
+        bins, stats = _level(rows, place, full)
+        if not leaf:
+            total = stats[0]["w"] if 0 in stats else 0
+            root.leaves = shards if target_bytes is None else max(1, -(-total // target_bytes))
+            leaf = total / max(root.leaves, 1)
+            if not total or root.leaves == 1:
                 break
-        dims, goals, nodes = {}, {}, {}
-        for n in front:
-            s = stats.get(n.name)
-            if s is None:
-                continue
-            nodes[n.name] = n
-            dims[n.name] = max(DIMENSIONS, key=lambda d: (s[f"hi_{d}"] - s[f"lo_{d}"]) / full[d])
-            goals[n.name] = s.w * (n.leaves - n.leaves // 2) / n.leaves
-        keys = _medians(placed.filter(F.col("node") >= 0), nodes, dims, goals, leaf)
+        dims = {n.name: stats[n.name]["dim"] for n in front if n.name in stats}
+        goals = {n.name: stats[n.name]["w"] * (n.leaves - n.leaves // 2) / n.leaves for n in front if n.name in stats}
+        keys = _medians(rows.sparkSession, rows, place, bins, dims, goals, leaf)
         after = []
         for n in front:
             if n.name not in keys:
@@ -202,7 +236,7 @@ def kd_shards(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int |
     tree = build_tree(rows, shards, target_bytes)
     bits = piece_bits(rows.count())
     piece = F.shiftright("h", BITS["h"] - bits) if bits else F.lit(0).cast("long")
-    placed = rows.select("doc_id", "size", "crc", _place(tree, lambda n: F.lit(n.first)).alias("shard"), piece.alias("__piece"))
+    placed = rows.select("doc_id", "size", "crc", _place(tree, lambda n: n.first).alias("shard"), piece.alias("__piece"))
     runs = numbered_runs(placed, "shard", "__piece", ["doc_id", "size", "crc"])
     return expanded(runs, "slot").drop("__piece")
 

@@ -40,6 +40,62 @@ def test_odd_rows_and_target_bytes(spark, docs_of, odd_texts):
     assert len(many) == 10 and all(r.b <= 6500 for r in many)
 
 
+def brute_tree(points, leaf, full, first, leaves):
+    """Shards of points (key by dimension, t, h, size) by sorting every node whole."""
+    if leaves == 1:
+        return {p["i"]: first for p in points}
+    dim = max(S.DIMENSIONS, key=lambda d: (max(p[d] for p in points) - min(p[d] for p in points)) / full[d])
+    half = leaves - leaves // 2
+    goal = sum(p["size"] for p in points) * half / leaves
+    groups = defaultdict(list)
+    for p in points:
+        groups[p[dim], p["t"]].append(p)
+    below, weight = [], 0
+    for key in sorted(groups):
+        group, w = groups[key], sum(p["size"] for p in groups[key])
+        if weight + w < goal:
+            below += group
+            weight += w
+            continue
+        if w > S.WHOLE * leaf:  # no leaf holds it: cut by the hash of the id
+            ids = defaultdict(list)
+            for p in group:
+                ids[p["h"]].append(p)
+            for h in sorted(ids):
+                w = sum(p["size"] for p in ids[h])
+                if weight + w < goal:
+                    below += ids[h]
+                    weight += w
+                    continue
+                group = ids[h]
+                break
+        if not (goal - weight < weight + w - goal and weight > 0):
+            below += group
+        break
+    low = {p["i"] for p in below}
+    above = [p for p in points if p["i"] not in low]
+    return brute_tree(below, leaf, full, first, half) | brute_tree(above, leaf, full, first + half, leaves - half)
+
+
+def test_tree_equals_sorting_every_node(spark, docs_of):
+    for hot in (0, 3):  # without and with a text that weighs a third of all
+        rows = [(i * 37 % 5000, "hot text " * 30 if hot and i % hot == 0 else f"text {i % 700} " * (1 + i % 23), f"src{i % 3}") for i in range(1500)]
+        points = S.staged(S.coordinates(docs_of(rows)), "kd-points")
+        tree = S.build_tree(points, 16)
+        got = points.select("doc_id", "size", "t", "h", *S.DIMENSIONS, S._place(tree, lambda n: n.first).alias("shard")).collect()
+        listed = [{"i": i, **r.asDict()} for i, r in enumerate(got)]
+        full = {d: max(1, max(p[d] for p in listed) - min(p[d] for p in listed)) for d in S.DIMENSIONS}
+        want = brute_tree(listed, sum(p["size"] for p in listed) / 16, full, 0, 16)
+        assert [r.shard for r in got] == [want[i] for i in range(len(got))]
+
+
+def test_extreme_ids(spark, docs_of):
+    rows = [(i, f"text {i}") for i in (-(1 << 63), (1 << 63) - 1, 0, -1, 1)] + [(None, "text"), (None, None)]
+    got = S.kd_shards(docs_of(rows), 4).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(d) for d, _ in rows)
+    assert {r.shard for r in got} <= set(range(4)) and len({(r.shard, r.slot) for r in got}) == len(rows)
+
+
 def test_native(spark, sf):
     text = S.query(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
