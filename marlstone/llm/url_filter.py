@@ -8,6 +8,12 @@ universe is then judged exactly by the first level that rejects it, without
 any join.  A url asks for one key for each shape (labels of the host, characters
 of the path) in the rules; the longest listed key wins.
 
+A filter has 8 MB at most.  Keys are split by a hash into as many parts as it
+takes for every level of every part to hold ``PART_KEYS`` keys at most, listed
+ones and false positives alike; each part has a cascade of its own, which sees
+only its own keys, so long lists and large universes stay exact.  The url table
+passes the parts one after another, so a task holds one part at a time.
+
 Rules are written ``host/path``.  A rule fits its host and all subdomains if the
 url's path starts with its path.  Of rules of equal length the one with the
 longer host wins; a key that is both blocked and allowed is blocked.  A url
@@ -41,6 +47,8 @@ RULES = (
     ("block", "org/es/"),
 )
 MOST_LEVELS = 40
+#: Keys in a level of a cascade: 16 bits for each in the largest filter.
+PART_KEYS = 1 << 22
 
 
 def shape(rule: str) -> tuple[int, int]:
@@ -96,18 +104,20 @@ def _passing(keys: DataFrame, bits: np.ndarray, level: int) -> DataFrame:
     return keys.select("key", level_hash("key", level).alias("h")).mapInArrow(run, "key string")
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, most: int | None = None) -> Cascade | None:
     """The cascade of the keys in ``listed`` over those in ``universe``.
 
     The universe is read once, against level 0; what passes is made distinct
-    and carried from level to level.
+    and carried from level to level.  None if a level has over ``most`` keys.
     """
     levels: list[np.ndarray] = []
     encode = staged(listed.select("key").filter("key IS NOT NULL").distinct(), "listed")
     others: DataFrame | None = None
     for number in range(MOST_LEVELS):
-        # level 0 is a little looser than the rest, as its universe is the largest
-        bits = bloom.build(encode.select(level_hash("key", number).alias("h")), bloom.log2_bits(encode.count(), 12))
+        keys = encode.count()
+        if most is not None and keys > most:
+            return None
+        bits = bloom.build(encode.select(level_hash("key", number).alias("h")), bloom.log2_bits(keys))
         levels.append(bits)
         if others is None:
             passed = _passing(universe.filter("key IS NOT NULL"), bits, number).distinct().join(encode, "key", "left_anti")
@@ -120,50 +130,80 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     raise RuntimeError("the cascade did not end")
 
 
-def _judge(shapes: int, cascades: dict[str, Cascade]):
-    schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string())])
+def part_hash(key: str | Column) -> Column:
+    """Splits keys into parts; no level hashes like it."""
+    return F.xxhash64(F.lit(-1), key)
+
+
+def build_parts(listed: DataFrame, universe: DataFrame, most: int = PART_KEYS) -> list[tuple[int, int, Cascade]]:
+    """(residue, modulus, cascade) of parts whose levels hold ``most`` keys at most."""
+    waiting, parts = [(0, 1)], []
+    while waiting:
+        residue, modulus = waiting.pop()
+        mine = F.pmod(part_hash("key"), F.lit(modulus)) == residue if modulus > 1 else F.lit(True)
+        cascade = build_cascade(listed.filter(mine), universe.filter(mine), most)
+        if cascade is None:
+            waiting += [(residue, 2 * modulus), (residue + modulus, 2 * modulus)]
+        else:
+            parts.append((residue, modulus, cascade))
+    return parts
+
+
+#: What is known of a page: the rule so far, and its rank (-1 for none).
+BEST = "page_id long, host string, path string, rule string, verdict string, best long"
+
+
+def _judge(shapes: int, action: str, residue: int, modulus: int, cascade: Cascade):
+    """A mapInArrow function that takes the rules of one part into account."""
+    schema = pa.schema(
+        [("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("best", pa.int64())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            rule, verdict = pa.nulls(n, pa.string()), pa.array(["allow"] * n, pa.string())
-            best = np.full(n, -1, dtype=np.int64)
+            rule, verdict = batch.column("rule"), batch.column("verdict")
+            best = batch.column("best").to_numpy().copy()
             for s in range(shapes):
                 key = batch.column(f"k{s}")
                 asked = pc.is_valid(key).to_numpy(zero_copy_only=False)
+                asked &= batch.column(f"p{s}").to_numpy() % modulus == residue
                 length = pc.fill_null(pc.utf8_length(key), 0).to_numpy().astype(np.int64)
                 # longer rules first, then longer hosts, then blocks
                 weight = (length << 20) + pc.fill_null(batch.column(f"n{s}"), 0).to_numpy()
-                for action, cascade in cascades.items():
-                    hashes = [batch.column(f"h{s}_{i}").to_numpy() for i in range(len(cascade.levels))]
-                    rank = weight * 2 + (action == "block")
-                    hit = asked & cascade.listed(hashes) & (rank > best)
-                    best[hit] = rank[hit]
-                    rule = pc.if_else(pa.array(hit), key, rule)
-                    verdict = pc.if_else(pa.array(hit), action, verdict)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("host"), batch.column("path"), rule, verdict], schema=schema)
+                hashes = [batch.column(f"h{s}_{i}").to_numpy() for i in range(len(cascade.levels))]
+                rank = weight * 2 + (action == "block")
+                hit = asked & cascade.listed(hashes) & (rank > best)
+                best[hit] = rank[hit]
+                rule = pc.if_else(pa.array(hit), key, rule)
+                verdict = pc.if_else(pa.array(hit), action, verdict)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path")), rule, verdict, pa.array(best)], schema=schema)
 
     return run
 
 
-def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
+def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, most: int = PART_KEYS) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page."""
     spark = prepare(pages.sparkSession)
-    urls = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"))
+    rows = pages.select(
+        "page_id", host_of("url").alias("host"), path_of("url").alias("path"), F.lit(None).cast("string").alias("rule"),
+        F.lit("allow").alias("verdict"), F.lit(-1).cast("long").alias("best"),
+    )
     shapes = sorted({shape(rule) for _, rule in rules})
     keys = [asked_key(*s).alias(f"k{i}") for i, s in enumerate(shapes)]
-    asked = urls.select("*", *keys)
-    universe = asked.select(F.explode(F.array(*[f"k{i}" for i in range(len(shapes))])).alias("key"))
-    cascades = {}
+    hosts = [F.length(F.substring_index("host", ".", -s[0])).cast("long").alias(f"n{i}") for i, s in enumerate(shapes)]
+    parts_of = [part_hash(F.col(f"k{i}")).alias(f"p{i}") for i in range(len(shapes))]
+    universe = rows.select(*keys).select(F.explode(F.array(*[f"k{i}" for i in range(len(shapes))])).alias("key"))
+    first = True
     for action in sorted({a for a, _ in rules}):
         listed = spark.createDataFrame([(rule,) for a, rule in rules if a == action], "key string")
-        cascades[action] = build_cascade(listed, universe)
-    depth = max((len(c.levels) for c in cascades.values()), default=0)
-    hashes = [level_hash(f"k{i}", n).alias(f"h{i}_{n}") for i in range(len(shapes)) for n in range(depth)]
-    hosts = [F.length(F.substring_index("host", ".", -s[0])).cast("long").alias(f"n{i}") for i, s in enumerate(shapes)]
-    return asked.select("*", *hashes, *hosts).mapInArrow(
-        _judge(len(shapes), cascades), "page_id long, host string, path string, rule string, verdict string"
-    )
+        parts = build_parts(listed, universe, most)
+        for residue, modulus, cascade in parts:
+            if len(parts) > 1 and not first:
+                rows = staged(rows, "judged")
+            hashes = [level_hash(F.col(f"k{i}"), n).alias(f"h{i}_{n}") for i in range(len(shapes)) for n in range(len(cascade.levels))]
+            asked = rows.select("*", *keys).select("*", *hosts, *parts_of, *hashes)
+            rows, first = asked.mapInArrow(_judge(len(shapes), action, residue, modulus, cascade), BEST), False
+    return rows.drop("best")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

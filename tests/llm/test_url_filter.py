@@ -36,6 +36,18 @@ def test_against_brute_force(spark):
     assert U.judged(spark.createDataFrame([], "page_id long, url string")).collect() == []
 
 
+def test_long_lists_are_split_into_parts(spark):
+    rules = [("block" if i % 3 else "allow", f"h{i}.com/") for i in range(60)]
+    urls = [f"http://{p}h{i % 90}.com/x{i}" for i, p in enumerate(["", "a.", "b.c."] * 100)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([(r,) for a, r in rules if a == "block"], "key string")
+    universe = spark.createDataFrame([(f"h{i}.com/",) for i in range(90)], "key string")
+    parts = U.build_parts(listed, universe, 12)
+    assert len(parts) > 2 and sum(1 / m for _, m, _ in parts) == 1
+    got = U.judged(pages, rules, 12).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(str((i, *judge(u, rules))) for i, u in enumerate(urls))
+
+
 def test_cascade_is_exact_over_its_universe(spark, monkeypatch):
     monkeypatch.setattr(bloom, "log2_bits", lambda keys, *_: max(10, keys.bit_length() + 1))  # crowded, so levels err
     keys = [f"k{i}" for i in range(6000)]
