@@ -2,16 +2,19 @@
 
 A word is the mean of the embeddings of its hashed character n-grams, so a
 misspelling that was never seen shares most of its vector with the word it
-bends.  A window of ``WINDOW`` words is the mean of its words, and a linear
-softmax turns it into two classes.  Embeddings and softmax are trained jointly
+bends.  A document is the mean of the ``STRONGEST`` distinct words that speak
+most for the toxic class, and a linear softmax turns it into two classes: of
+all words, as a plain mean would have it, the few toxic ones of a long text
+would not count, and of one, as a maximum, any chance likeness would.  Embeddings and softmax are trained jointly
 in numpy on the driver, from a sample of labelled documents: at most
 ``PER_CLASS`` of each class in order of a hash of doc_id, those of at most
 ``LONGEST`` bytes before longer ones.  A longer text gives a window of
 ``LONGEST`` bytes, whose place a hash of doc_id picks, and where the sample of a
 class would pass half of ``SAMPLE_BYTES``, all its texts are cut to equal
-bounds instead of dropping any; first on whole documents, then on the window
-that speaks most for the toxic class.  A document scores as its worst window,
-so a few words in a very long text still count.
+bounds instead of dropping any.  Training begins with the mean of whole
+documents, which tells which words are strong, and goes on with the strongest,
+which are chosen anew every ``REFRESH`` steps.
+Of rows that repeat a doc_id the smallest text counts.
 
 All of the model that scoring needs is one number for each n-gram bucket
 (256 KB), which goes to every task whatever the input's size.
@@ -25,6 +28,7 @@ the labels.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,10 +42,12 @@ from .common import as_bytes, prepare, record_batch, slices, table
 SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 16
 DIM = 8
-WINDOW, STRIDE = 3, 1
+STRONGEST = 3
 PER_CLASS = 1500
 LONGEST, SAMPLE_BYTES = 8 << 10, 8 << 20
-WARM, ROUNDS, RATE, DECAY = 20, 45, 0.05, 1e-5
+WARM, ROUNDS, REFRESH, RATE, DECAY = 20, 150, 5, 0.05, 1e-5
+#: Weight of the toxic class in training.
+TOXIC_SHARE = 0.3
 FOLDS = 5
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -104,7 +110,7 @@ class Model:
         return [score[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
 
     def logit(self, words: np.ndarray) -> float:
-        return float(windows(words).max()) + self.bias
+        return float(words[strongest(words)].mean()) + self.bias
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -114,62 +120,76 @@ class Model:
         return out
 
 
-def windows(words: np.ndarray) -> np.ndarray:
-    """Means of the windows; the last one ends with the text."""
-    if len(words) <= WINDOW:
-        return np.array([words.mean()])
-    total = np.concatenate([[0.0], np.cumsum(words, dtype=np.float64)])
-    first = _firsts(len(words))
-    return (total[first + WINDOW] - total[first]) / WINDOW
-
-
-def _firsts(n: int) -> np.ndarray:
-    first = np.arange(0, n - WINDOW, STRIDE)
-    return np.append(first, n - WINDOW) if n > WINDOW else np.zeros(1, dtype=np.int64)
+def strongest(words: np.ndarray) -> np.ndarray:
+    """Where the strongest distinct words are; equal words have equal scores."""
+    if len(words) > 64:  # the best few need no full sort
+        near = np.argpartition(words, -64)[-64:]
+        _, first = np.unique(words[near], return_index=True)
+        if len(first) >= STRONGEST:
+            return near[first[-STRONGEST:]]
+    _, first = np.unique(words, return_index=True)
+    return first[-STRONGEST:]
 
 
 class _Bags:
-    """N-gram buckets of the training texts, by word and document.
+    """N-gram buckets of the distinct words of the training texts.
 
-    The arrays of each n-gram size are kept apart and worked on in chunks, so
-    that no temporary is as large as the sample.
+    ``docs`` has the distinct words of each text and how often each occurs.  The
+    arrays of each n-gram size are kept apart and worked on in chunks, so that
+    no temporary is as large as the sample.
     """
 
     CHUNK = 1 << 20
 
     def __init__(self, texts: list[bytes]):
-        raw, begins = _stream(texts)
+        index: dict[bytes, int] = {}
+        self.docs: list[tuple[np.ndarray, np.ndarray]] = []
+        for text in texts:
+            found = Counter(text.lower().split())
+            ids = np.array([index.setdefault(w, len(index)) for w in found], dtype=np.int64)
+            self.docs.append((ids, np.array(list(found.values()), dtype=np.float64)))
+        raw, _ = _stream([b" ".join(index)])
         n = len(raw) - max(SIZES)
-        starts = np.nonzero(_SPACE[raw[:n]])[0]
         word_at = (np.cumsum(_SPACE[raw[:n]]) - 1).astype(np.int32)
-        number = np.zeros(len(starts), dtype=np.int64)
+        number = np.zeros(len(index), dtype=np.int64)
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         for ok, bucket in _grams(raw):
             self.parts.append((word_at[ok], bucket[ok]))
-            number += np.bincount(self.parts[-1][0], minlength=len(starts))
-        filled = np.nonzero(number)[0]
-        renumbered = (np.cumsum(number > 0) - 1).astype(np.int32)
-        for word, _ in self.parts:
-            word[:] = renumbered[word]
-        self.count = number[filled].astype(np.float64)
-        self.cuts = np.searchsorted(starts[filled], begins)
-
-    def _chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for word, bucket in self.parts:
+            number += np.bincount(self.parts[-1][0], minlength=len(index))[: len(index)]
+        self.count = number.astype(np.float64)  # a word of one letter has a gram with its spaces
+
+    def chosen(self, doc: int, scores: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """The words of a text that count and their shares: the strongest, or all."""
+        ids, often = self.docs[doc]
+        if scores is None:
+            return ids, often / often.sum()
+        best = min(STRONGEST, len(ids))
+        return ids[np.argpartition(scores[ids], len(ids) - best)[-best:]], np.full(best, 1 / best)
+
+    def only(self, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The n-grams of some words."""
+        wanted = np.zeros(len(self.count), dtype=bool)
+        wanted[words] = True
+        kept = [wanted[word] for word, _ in self.parts]
+        return [(word[k], bucket[k]) for (word, bucket), k in zip(self.parts, kept, strict=True)]
+
+    def _chunks(self, parts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for word, bucket in parts:
             for at in range(0, len(word), self.CHUNK):
                 yield word[at : at + self.CHUNK], bucket[at : at + self.CHUNK]
 
-    def scores(self, gram: np.ndarray) -> np.ndarray:
+    def scores(self, gram: np.ndarray, parts=None) -> np.ndarray:
+        """Means of the n-grams of each word, of ``only`` some of them if given."""
         total = np.zeros(len(self.count))
-        for word, bucket in self._chunks():  # words rise within a chunk
+        for word, bucket in self._chunks(self.parts if parts is None else parts):  # words rise within a chunk
             sums = np.bincount(word - word[0], gram[bucket])
             total[word[0] : word[0] + len(sums)] += sums
         return total / self.count
 
-    def weights(self, per_word: np.ndarray) -> np.ndarray:
+    def weights(self, per_word: np.ndarray, parts=None) -> np.ndarray:
         """Sum over buckets of the weights given to words."""
         each, total = per_word / self.count, np.zeros(BUCKETS)
-        for word, bucket in self._chunks():
+        for word, bucket in self._chunks(self.parts if parts is None else parts):
             total += np.bincount(bucket, each[word], minlength=BUCKETS)
         return total
 
@@ -184,25 +204,21 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (BUCKETS, DIM)), rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())) / len(label)
+    weight = np.where(label == 1, TOXIC_SHARE / label.mean(), (1 - TOXIC_SHARE) / (1 - label.mean())) / len(label)
     for step in range(1, WARM + ROUNDS + 1):
         embed, soft, bias = params
         away = soft[:, 1] - soft[:, 0]
-        words = bags.scores(embed @ away)
-        share, logit = np.zeros(len(words)), np.zeros(len(texts))
-        for d in range(len(texts)):
-            a, b = bags.cuts[d], bags.cuts[d + 1]
-            if step > WARM:
-                means = windows(words[a:b])
-                if len(means) > 1:
-                    a += _firsts(b - a)[int(means.argmax())]
-                    b = a + WINDOW
-            share[a:b] = 1 / (b - a)
-            logit[d] = words[a:b].mean() if b > a else 0.0
+        if step == 1 or (step > WARM and (step - WARM) % REFRESH == 1):
+            words = bags.scores(embed @ away)
+            chosen = [bags.chosen(d, words if step > WARM else None) for d in range(len(texts))]
+            ids, share = (np.concatenate(x) for x in zip(*chosen, strict=True))
+            text_of = np.repeat(np.arange(len(texts)), [len(x) for x, _ in chosen])
+            parts = bags.only(ids) if step > WARM else None
+        words = bags.scores(embed @ away, parts)
+        logit = np.bincount(text_of, words[ids] * share, minlength=len(texts))
         p = 1 / (1 + np.exp(-np.clip(logit + bias[1] - bias[0], -30, 30)))
         error = (p - label) * weight
-        per_word = share * np.repeat(error, np.diff(bags.cuts))
-        coef = bags.weights(per_word)
+        coef = bags.weights(np.bincount(ids, share * error[text_of], minlength=len(words)), parts)
         pull = coef @ embed
         grads = [
             np.outer(coef, away) + DECAY * embed * (coef != 0)[:, None],
@@ -234,7 +250,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     rows = (
         docs.join(sample, "doc_id")
         .groupBy("doc_id")
-        .agg(F.min_by(window, size).alias("text"), F.first("toxic").alias("toxic"))
+        .agg(F.min(F.struct(size.alias("size"), window.alias("text"))).alias("least"), F.first("toxic").alias("toxic"))
+        .select("doc_id", F.col("least.text").alias("text"), "toxic")
         .orderBy(order, "doc_id")
         .toArrow()
     )

@@ -1,7 +1,8 @@
-import zlib
 import random
+import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import toxicity as X
@@ -59,3 +60,47 @@ def test_long_labelled_texts_give_windows(spark, docs_of):
     assert X._equal_bound([10, 50, 90], 100) == 45
     model = X.train(texts, toxic)
     assert model.score([b"vile vile vile"])[0] > 0.5 > model.score([b"mild mild mild"])[0]
+
+
+def slow_score(table, bias, text):
+    """The forward pass one n-gram at a time."""
+    words = {}
+    for word in text.lower().split():
+        padded, found = b" " + word + b" ", []
+        for size in X.SIZES:
+            for k in range(len(padded) - size + 1):
+                h = padded[k] * 0x9E3779B1 & 0xFFFFFFFF
+                for c in padded[k + 1 : k + size]:
+                    h = ((h ^ (h >> 15)) * 0x01000193 + c) & 0xFFFFFFFF
+                found.append(float(table[(h * 0x85EBCA6B & 0xFFFFFFFF) >> 16]))
+        words[word] = sum(found) / len(found)
+    if not words:
+        return 0.0
+    best = sorted(words.values())[-X.STRONGEST :]
+    return 1 / (1 + np.exp(-(sum(best) / len(best) + bias)))
+
+
+def test_scores_equal_a_slow_forward_pass():
+    rng = np.random.default_rng(3)
+    model = X.Model(rng.normal(0, 2, X.BUCKETS).astype(np.float32), -0.3)
+    words = ["a", "Be", "sea", "vilefoe", "\u00e9t\u00e9", "x" * 40, "vilefoe!"]
+    texts = [" ".join(rng.choice(words, n)).encode() for n in (0, 1, 2, 5, 30, 400)] + [b" \t\n", b" ".join(b"w%d" % i for i in range(300))]
+    assert model.score(texts) == pytest.approx([slow_score(model.table, model.bias, t) for t in texts], abs=1e-5)
+
+
+def test_training_takes_the_smallest_text_of_a_repeated_id(spark, docs_of):
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % X.FOLDS][:8]
+    rows = [(i, text) for i in ids for text in ("zz", "ab", "much longer text", None if i == ids[0] else "cd")]
+    labels = spark.createDataFrame([(i, 1, k % 2) for k, i in enumerate(ids)], LABELS)
+    for parts in (1, 4):
+        texts, _ = X.labelled_sample(docs_of(rows, parts), labels)
+        assert sorted(texts) == [b""] + [b"ab"] * 7
+
+
+def test_held_out_labels_of_a_driver_table(spark):
+    """Both above 0.85 with some 350 toxic examples, a twentieth of which have no toxic word."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter("toxic IS NOT NULL").select("doc_id", "toxic")
+    rows = X.query(spark, folder).filter("held_out").join(labels, "doc_id").groupBy("predicted", "toxic").count().collect()
+    n = {(r.predicted, r.toxic): r["count"] for r in rows}
+    assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((0, 1), 0)) and n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0))
