@@ -10,7 +10,7 @@ from its own neighbours in a distributed table; the spelling unit counts as
 SHAPE_PRIOR occurrences, and speaks alone only for words never seen in training.
 A text scores by class trigrams, smoothed towards bigrams and unigrams, times
 the emission of each word from its class, smoothed with one unseen word a class,
-mixed with the word's unigram.
+mixed with the word's unigram (weight MIX), which the bare method does not have.
 
 Counts cover all training documents.  Word counts stay distributed: only the
 HEAD most frequent words (at most WORD_BYTES long) go to every task, which is a
@@ -34,7 +34,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, prepare, record_batch, slices, staged, table
@@ -53,6 +53,8 @@ PRIOR = 20.0
 MIX = 0.15
 #: Tokens whose neighbours a task combines before it sends them on.
 FLUSH = 1 << 21
+#: Occurrences of a word in as many tokens beyond which only their counts are sent.
+DENSE = 400
 #: Set in a class byte where the word is outside the head; classes are below it.
 TAIL_BIT = 64
 #: The end of a text; no word holds a space.
@@ -158,7 +160,9 @@ def _unit_of(word: bytes, index: dict[bytes, int], unit: np.ndarray) -> int:
 
 # ---- documents as codes ----------------------------------------------------
 
-ENCODED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, log_n double, codes binary, tail array<binary>"
+#: ``tail`` has the distinct words of a text outside the head, ``spots`` which of
+#: them each of their occurrences is.
+ENCODED = "uid long, doc_id long, held_out boolean, n_tokens long, known long, log_n double, codes binary, tail array<binary>, spots binary"
 
 
 def units_of(words: Lexicon) -> np.ndarray:
@@ -179,26 +183,29 @@ def encoded(docs: DataFrame, words: Lexicon, log_end: float) -> DataFrame:
             ("log_n", pa.float64()),
             ("codes", pa.binary()),
             ("tail", pa.list_(pa.binary())),
+            ("spots", pa.binary()),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "log_n", "codes", "tail")}
+            out: dict[str, list] = {k: [] for k in ("n_tokens", "known", "log_n", "codes", "tail", "spots")}
             for text in as_bytes(batch.column("text")):
                 tokens = text.lower().split()
                 at = np.fromiter(map(index.get, tokens, repeat(-1)), dtype=np.int32, count=len(tokens))
                 rare = np.nonzero(at < 0)[0]
-                tail = [tokens[i] for i in rare.tolist()]
+                number: dict[bytes, int] = {}
+                spots = np.fromiter((number.setdefault(tokens[i], len(number)) for i in rare.tolist()), dtype=np.int32, count=len(rare))
                 codes = np.append(at, np.int32(heads + SHAPES))
-                if tail:
-                    codes[rare] = [heads - UNITS + shape_unit(w) for w in tail]
-                known = len(tokens) - len(tail)
+                if number:
+                    codes[rare] = np.array([heads - UNITS + shape_unit(w) for w in number], dtype=np.int32)[spots]
+                known = len(tokens) - len(rare)
                 out["n_tokens"].append(len(tokens) + 1)
                 out["known"].append(known + 1 if log_end > np.log10(ADD) else known)
                 out["log_n"].append((float(log_n[at[at >= 0]].sum()) if known else 0.0) + log_end)
                 out["codes"].append(codes.tobytes())
-                out["tail"].append(tail)
+                out["tail"].append(list(number))
+                out["spots"].append(spots.tobytes())
             yield record_batch({c: batch.column(c) for c in ("uid", "doc_id", "held_out")} | out, schema)
 
     rows = docs.select(
@@ -392,45 +399,69 @@ def classes(rows: DataFrame, unit_of: np.ndarray, tokens: np.ndarray) -> tuple[n
 # ---- classes of all other words --------------------------------------------
 
 
-def _grouped(key: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """The distinct keys, and for each the class pairs beside it as bytes."""
+def _grouped(key: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, list[bytes | None], list[bytes | None]]:
+    """The distinct keys, and for each what stands beside its occurrences.
+
+    That is the class pairs, two bytes each, or for a key with more than
+    ``DENSE`` occurrences their counts, so that no key takes more than a few
+    hundred bytes however often it occurs.
+    """
     order = np.argsort(key, kind="stable")
     found, first = np.unique(key[order], return_index=True)
-    ends = np.append(first, len(key)).astype(np.int32) * 2
-    data = beside[order].tobytes()
-    return found, pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+    beside, ends = beside[order], np.append(first, len(key))[1:]
+    pairs, sums = [], []
+    for a, b in zip(first.tolist(), ends.tolist(), strict=True):
+        many = b - a > DENSE
+        pairs.append(None if many else beside[a:b].tobytes())
+        sums.append(np.append(_counted(beside[a:b], np.zeros(b - a, dtype=np.int64), 1)[0], b - a).tobytes() if many else None)
+    return found, pairs, sums
+
+
+def _counted(beside: np.ndarray, of_pair: np.ndarray, keys: int) -> np.ndarray:
+    """Counts [key, class before and class after] of class pairs; a class may be unknown."""
+    total, beside = np.zeros(keys * 2 * ALL, dtype=np.int64), beside.astype(np.int64)
+    for side in (0, 1):
+        known = beside[:, side] < ALL
+        total += np.bincount((of_pair * 2 * ALL + side * ALL + beside[:, side])[known], minlength=len(total))
+    return total.reshape(-1, 2 * ALL)
 
 
 def word_classes(rows: DataFrame, unit_of: np.ndarray, sweep: Sweep, spelled: np.ndarray) -> DataFrame:
     """(code, word, cls, n) of all words that are no units; word is null in the head.
 
-    A task sends one row a word with the classes beside its occurrences, two
-    bytes each; rows of a word meet in order, so adding them up holds one word
-    at a time besides a batch.
+    A task sends one row a word and FLUSH tokens; rows of a word meet in order,
+    so adding them up holds one word at a time besides a batch.
     """
     of, heads = sweep.of, len(unit_of) - SHAPES - 1
-    schema = pa.schema([("code", pa.int32()), ("word", pa.binary()), ("beside", pa.binary())])
+    schema = pa.schema([("code", pa.int32()), ("word", pa.binary()), ("beside", pa.binary()), ("sums", pa.binary())])
     result = pa.schema([("code", pa.int32()), ("word", pa.binary()), ("cls", pa.int32()), ("n", pa.int64())])
 
     def send(codes: list[np.ndarray], tails: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         code = np.concatenate([[heads + SHAPES], *codes])
         c = of[unit_of[code]].astype(np.uint8)  # 255 where a unit has no class yet
         at = np.nonzero((code >= UNITS) & (code < heads))[0]
-        found, beside = _grouped(code[at], np.stack([c[at - 1], c[at + 1]], axis=1))
-        yield record_batch({"code": found, "word": pa.nulls(len(found), pa.binary()), "beside": beside}, schema)
+        found, beside, sums = _grouped(code[at], np.stack([c[at - 1], c[at + 1]], axis=1))
+        yield record_batch({"code": found, "word": pa.nulls(len(found), pa.binary()), "beside": beside, "sums": sums}, schema)
         at = np.nonzero((code >= heads) & (code < heads + SHAPES))[0]
         words = pa.concat_arrays(tails).dictionary_encode()
-        found, beside = _grouped(words.indices.to_numpy(), np.stack([c[at - 1], c[at + 1]], axis=1))
+        found, beside, sums = _grouped(words.indices.to_numpy(), np.stack([c[at - 1], c[at + 1]], axis=1))
         code_of = np.zeros(len(found), dtype=np.int32)
         code_of[words.indices.to_numpy()] = code[at]
-        yield record_batch({"code": code_of, "word": words.dictionary, "beside": beside}, schema)
+        yield record_batch({"code": code_of, "word": words.dictionary, "beside": beside, "sums": sums}, schema)
+
+    def occurrences(batch: pa.RecordBatch) -> pa.Array:
+        """The words of all spots, one after another."""
+        tail = batch.column("tail")
+        begins = tail.offsets.to_numpy()[:-1].astype(np.int64) - tail.offsets[0].as_py()
+        spots = [np.frombuffer(x, dtype=np.int32) + a for x, a in zip(as_bytes(batch.column("spots")), begins, strict=True)]
+        return tail.flatten().take(pa.array(np.concatenate(spots)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, tails, size = [], [], 0
         for batch in batches:
             if batch.num_rows:
                 codes.append(np.frombuffer(b"".join(as_bytes(batch.column("codes"))), dtype=np.int32))
-                tails.append(batch.column("tail").flatten())
+                tails.append(occurrences(batch))
                 size += len(codes[-1])
             if size > FLUSH:
                 yield from send(codes, tails)
@@ -452,14 +483,15 @@ def word_classes(rows: DataFrame, unit_of: np.ndarray, sweep: Sweep, spelled: np
             new[1:] |= code[1:] != code[:-1]
             first, ids = np.nonzero(new)[0], np.cumsum(new) - 1
             data = as_bytes(batch.column("beside"))
-            beside = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, 2).astype(np.int64)
+            beside = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, 2)
             of_pair = np.repeat(ids, [len(x) // 2 for x in data])
             n = np.bincount(of_pair, minlength=len(first))
-            total = np.zeros(len(first) * 2 * ALL)
-            for side in (0, 1):
-                known = beside[:, side] < ALL
-                total += np.bincount((of_pair * 2 * ALL + side * ALL + beside[:, side])[known], minlength=len(total))
-            total = total.reshape(-1, 2 * ALL)
+            total = _counted(beside, of_pair, len(first)).astype(np.float64)
+            for i, dense in zip(ids, batch.column("sums").to_pylist(), strict=True):
+                if dense is not None:
+                    dense = np.frombuffer(dense, dtype=np.int64)
+                    total[i] += dense[:-1]
+                    n[i] += dense[-1]
             code, words = code[first], [words[i] for i in first]
             if held is not None:
                 if held[0] == code[0] and held[1] == words[0]:
@@ -473,7 +505,7 @@ def word_classes(rows: DataFrame, unit_of: np.ndarray, sweep: Sweep, spelled: np
         if held is not None:
             yield chosen(np.array([held[0]]), [held[1]], held[2][None], np.array([held[3]]))
 
-    sent = rows.select("codes", "tail").mapInArrow(run, "code int, word binary, beside binary")
+    sent = rows.select("codes", "tail", "spots").mapInArrow(run, "code int, word binary, beside binary, sums binary")
     met = sent.repartition("code", "word").sortWithinPartitions("code", "word")
     return staged(met.mapInArrow(add, "code int, word binary, cls int, n long"), "brown-words")
 
@@ -483,48 +515,41 @@ CLASSED = "doc_id long, held_out boolean, n_tokens long, known long, log_n doubl
 
 def classed(rows: DataFrame, words: DataFrame, class_of: np.ndarray, heads: int) -> DataFrame:
     """Each document as classes, with what all its words add up to."""
-    part = pa.schema([("uid", pa.int64()), ("classes", pa.binary())])
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("log_n", pa.float64()), ("classes", pa.binary())])
     byte_of = class_of.astype(np.uint8)
     byte_of[heads : heads + SHAPES] |= TAIL_BIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [byte_of[np.frombuffer(x, dtype=np.int32)].tobytes() for x in as_bytes(batch.column("codes"))]
-            others = {c: batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "known", "log_n")}
-            yield record_batch({"uid": batch.column("uid"), "classes": made} | others, pa.schema([*part, *list(schema)[:5]]))
+            out: dict[str, list] = {"known": [], "log_n": [], "classes": []}
+            columns = (batch.column(c).to_pylist() for c in ("known", "log_n", "own"))
+            for x, raw, known, log_n, own in zip(as_bytes(batch.column("codes")), as_bytes(batch.column("spots")), *columns, strict=True):
+                c, spots = byte_of[np.frombuffer(x, dtype=np.int32)], np.frombuffer(raw, dtype=np.int32)
+                if len(spots):
+                    at = np.nonzero(c & TAIL_BIT)[0]
+                    c &= TAIL_BIT - 1
+                    count = np.zeros(spots.max() + 1)
+                    if own:
+                        i, cls, n = (np.array([w[k] for w in own]) for k in ("i", "cls", "n"))
+                        count[i] = n
+                        found = np.full(len(count), -1, dtype=np.int64)
+                        found[i] = cls
+                        mine = found[spots]
+                        c[at[mine >= 0]] = mine[mine >= 0]
+                        known += int((count[spots] > 0).sum())
+                    log_n += float(np.log10(count[spots] + ADD).sum())
+                out["known"].append(known)
+                out["log_n"].append(log_n)
+                out["classes"].append(c.tobytes())
+            yield record_batch({c: batch.column(c) for c in ("doc_id", "held_out", "n_tokens")} | out, schema)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = []
-            for x, own in zip(as_bytes(batch.column("classes")), batch.column("own").to_pylist(), strict=True):
-                c = np.frombuffer(x, dtype=np.uint8)
-                if own is not None:
-                    spots, c = np.nonzero(c & TAIL_BIT)[0], c & (TAIL_BIT - 1)
-                    own = np.array(own, dtype=np.int64)
-                    c[spots[own // TAIL_BIT]] = own % TAIL_BIT
-                made.append(c.tobytes())
-            yield record_batch({f.name: batch.column(f.name) for f in list(schema)[:5]} | {"classes": made}, schema)
-
-    mapped = rows.select("uid", "doc_id", "held_out", "n_tokens", "known", "log_n", "codes").mapInArrow(
-        run, "uid long, classes binary, doc_id long, held_out boolean, n_tokens long, known long, log_n double"
-    )
     tails = words.filter("word IS NOT NULL").select("word", "cls", "n")
-    rare = rows.select("uid", F.posexplode("tail").alias("i", "word")).join(tails, "word", "left").groupBy("uid").agg(
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + ADD)).alias("rare_log_n"),
-        F.count("n").alias("rare_known"),
-        F.collect_list(F.col("i").cast("long") * TAIL_BIT + F.col("cls")).alias("own"),
+    # one row for each distinct rare word of a text; a text's own words are collected
+    rare = rows.select("uid", F.posexplode("tail").alias("i", "word")).join(tails, "word").groupBy("uid").agg(
+        F.collect_list(F.struct("i", "cls", "n")).alias("own")
     )
-    joined = mapped.join(rare, "uid", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("known"),
-        (F.col("log_n") + F.coalesce("rare_log_n", F.lit(0.0))).alias("log_n"),
-        "classes",
-        "own",
-    )
-    return staged(joined.mapInArrow(merge, CLASSED), "brown-classes")
+    joined = rows.select("uid", "doc_id", "held_out", "n_tokens", "known", "log_n", "codes", "spots").join(rare, "uid", "left").drop("uid")
+    return staged(joined.mapInArrow(run, CLASSED), "brown-classes")
 
 
 # ---- the model -------------------------------------------------------------
@@ -564,11 +589,12 @@ def model_of(rows: DataFrame, size: np.ndarray, words: np.ndarray) -> Model:
     p1 = (n1 + ADD) / (n1 + ADD).sum()
     p2 = (n2 + PRIOR * p1) / (n2.sum(axis=1, keepdims=True) + PRIOR)
     p3 = (n3 + PRIOR * p2[None]) / (n3.sum(axis=2, keepdims=True) + PRIOR)
-    return Model(p3, size + ADD * (words + 1), size.sum() + ADD * (words.sum() + 1))
+    # one unseen word for each class, so that all probabilities sum to one
+    return Model(p3, size + ADD * (words + 1), size.sum() + ADD * (words.sum() + ALL))
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def fitted(docs: DataFrame) -> tuple[DataFrame, Model, Row]:
+    """All documents as classes, the model, and the tokens n and words v it learned from."""
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     counts = word_counts(docs)
@@ -588,7 +614,12 @@ def scored(docs: DataFrame) -> DataFrame:
         size[r.cls] += r.n
         number[r.cls] += r.words
     texts = classed(rows, others, class_of, len(words.index))
-    model = model_of(texts.filter("NOT held_out"), size, number)
+    return texts, model_of(texts.filter("NOT held_out"), size, number), total
+
+
+def scored(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    texts, model, total = fitted(docs)
     base = float(np.log10(total.n + ADD * (total.v + 1)))
     schema = pa.schema([("class_score", pa.float64())])
 
