@@ -129,8 +129,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the mix emits, each as often as it is taken.
 
-    Rows that share id, source and size take their numbers in order of a hash
-    of the text, so every one of them is sampled by itself.
+    Rows that share id, source and size take their numbers in order of hashes
+    of the text and of all columns, so every one of them is sampled by itself
+    and reruns agree.
     """
     runs = systematic_copies(docs, "doc_id", "source", word_count("text")).select(
         F.col("__id"), F.col("__g"), F.col("__size"), "__start", "rate", "shift"
@@ -141,7 +142,7 @@ def mixed(docs: DataFrame) -> DataFrame:
         source_key("source").alias("__g"),
         word_count("text").alias("__size"),
     )
-    same = Window.partitionBy("__id", "__g", "__size").orderBy(F.xxhash64("__row.text"))
+    same = Window.partitionBy("__id", "__g", "__size").orderBy(F.xxhash64("__row.text"), F.xxhash64("__row"))
     joined = rows.join(
         runs.withColumnsRenamed({"__id": "__id2", "__g": "__g2", "__size": "__size2"}),
         F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__g") == F.col("__g2")) & (F.col("__size") == F.col("__size2")),
