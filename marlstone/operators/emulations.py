@@ -60,3 +60,30 @@ def sessions(df: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     order = Window.partitionBy(key).orderBy(ts)
     fresh = F.coalesce((F.col(ts) - F.lag(ts).over(order)) > F.expr(f"INTERVAL {gap}"), F.lit(True))
     return df.withColumn("__new", fresh.cast("int")).withColumn("session", F.sum("__new").over(order)).drop("__new")
+
+
+def exact_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact interpolated percentiles of each group, as percentile() gives them.
+
+    Equal values are counted with map-side sums, values fall into bins of a
+    rising function (4,096 to each doubling), and only the bins in which a wanted
+    rank lies are sorted.  So no task holds a group.  Nulls do not count.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("__g"), F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.withColumn("__bin", F.floor(F.signum("__v") * F.log2(F.abs("__v") + 1) * 4096))
+    bins = counts.groupBy("__g", "__bin").agg(F.sum("__n").alias("__m"))
+    before = Window.partitionBy("__g").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select("*", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__base"), F.sum("__m").over(Window.partitionBy("__g")).alias("__all"))
+    # the ranks, from 0, between which each share lies
+    wanted = F.explode(F.array(*[F.lit(s) for s in sorted(set(shares.values()))]))
+    ranks = bins.select("*", wanted.alias("__share")).withColumn("__at", (F.col("__all") - 1) * F.col("__share"))
+    ranks = ranks.select("*", F.explode(F.array(F.floor("__at"), F.ceil("__at"))).alias("__rank")).distinct()
+    ranks = ranks.filter("__rank >= __base AND __rank < __base + __m").select("__g", "__bin", "__base", "__share", "__at", "__rank")
+    narrow = counts.join(ranks.select("__g", "__bin", "__base").distinct(), ["__g", "__bin"])
+    inside = Window.partitionBy("__g", "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = narrow.withColumn("__first", F.col("__base") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    hit = placed.drop("__base").join(ranks, ["__g", "__bin"]).filter("__rank >= __first AND __rank < __first + __n")
+    low, high, part = F.min("__v"), F.max("__v"), F.first("__at") - F.floor(F.first("__at"))
+    points = hit.groupBy("__g", "__share").agg(((1 - part) * low + part * high).alias("__p"))
+    chosen = [F.max(F.when(F.col("__share") == s, F.col("__p"))).alias(name) for name, s in shares.items()]
+    return points.groupBy(F.col("__g").alias(group)).agg(*chosen)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.emulations import exact_percentiles
 from .registry import query, sql_query
 
 
@@ -58,6 +59,21 @@ def agg_pivot(t):
     return t.orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).fillna(0)
 
 
+@query(
+    "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS \"F\", count(*) FILTER (WHERE o_orderstatus = 'O') AS \"O\", "
+    "count(*) FILTER (WHERE o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY o_orderpriority"
+)
+def agg_pivot_discovered(t):
+    # the values are found by a pass of their own; Spark refuses more than spark.sql.pivotMaxValues
+    return t.orders.groupBy("o_orderpriority").pivot("o_orderstatus").agg(F.count(F.lit(1))).fillna(0)
+
+
+@query("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY GROUPING SETS ((c_nationkey, c_mktsegment), (c_mktsegment), ())")
+def agg_grouping_sets_dataframe(t):
+    sets = [("c_nationkey", "c_mktsegment"), ("c_mktsegment",), ()]
+    return t.customer.groupingSets([[F.col(c) for c in s] for s in sets], "c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "SELECT c_nationkey, max(c_acctbal) FILTER (WHERE c_mktsegment = 'BUILDING') AS \"BUILDING_hi\", count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS \"BUILDING_n\", "
     "max(c_acctbal) FILTER (WHERE c_mktsegment = 'MACHINERY') AS \"MACHINERY_hi\", count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS \"MACHINERY_n\" FROM customer GROUP BY c_nationkey"
@@ -111,10 +127,20 @@ sql_query(
     "SELECT c_nationkey, bool_and(c_acctbal > 0) AS a, bool_or(c_acctbal > 9500) AS o, bool_and(c_acctbal > -500) AS e, CAST(count_if(c_acctbal > 0) AS BIGINT) AS n FROM customer GROUP BY c_nationkey",
 )
 sql_query("agg_bitwise", "SELECT o_orderstatus, bit_and(o_custkey) AS a, bit_or(o_custkey) AS o, bit_xor(o_custkey) AS x FROM orders GROUP BY o_orderstatus")
+
+
+@query(
+    f"SELECT l_returnflag, quantile_cont({_Y}, 0.5) AS p50, quantile_cont({_Y}, 0.9) AS p90, median({_Y}) AS med FROM lineitem GROUP BY l_returnflag"
+)
+def agg_percentiles(t):
+    # percentile() keeps every value of a group in one task; ranks are narrowed by bins instead
+    return exact_percentiles(t.lineitem, "l_returnflag", _Y, {"p50": 0.5, "p90": 0.9, "med": 0.5})
+
+
 sql_query(
-    "agg_percentiles",
-    f"SELECT l_returnflag, percentile({_Y}, 0.5) AS p50, percentile({_Y}, 0.9) AS p90, median({_Y}) AS med FROM lineitem GROUP BY l_returnflag",
-    f"SELECT l_returnflag, quantile_cont({_Y}, 0.5) AS p50, quantile_cont({_Y}, 0.9) AS p90, median({_Y}) AS med FROM lineitem GROUP BY l_returnflag",
+    "agg_percentile_function",
+    "SELECT o_custkey, percentile(o_totalprice, 0.5) AS p50, percentile(o_totalprice, 0.9) AS p90, median(o_totalprice) AS med FROM orders GROUP BY o_custkey",
+    "SELECT o_custkey, quantile_cont(o_totalprice, 0.5) AS p50, quantile_cont(o_totalprice, 0.9) AS p90, median(o_totalprice) AS med FROM orders GROUP BY o_custkey",
 )
 sql_query(
     "agg_max_by",
@@ -139,10 +165,23 @@ sql_query(
 )
 
 
-@query()
+@query("SELECT o_orderstatus, true AS customers, true AS quartiles, true AS p90 FROM orders GROUP BY o_orderstatus")
 def agg_approximate(t):
-    return t.orders.groupBy("o_orderstatus").agg(
-        F.approx_count_distinct("o_custkey", 0.02).alias("customers"),
-        F.percentile_approx("o_totalprice", [0.25, 0.5, 0.75], 10_000).alias("quartiles"),
-        F.approx_percentile("o_totalprice", 0.9, 10_000).alias("p90"),
+    """Whether the approximations keep the error that they promise."""
+    got = t.orders.groupBy("o_orderstatus").agg(
+        F.approx_count_distinct("o_custkey", 0.02).alias("about"),
+        F.percentile_approx("o_totalprice", [0.25, 0.5, 0.75], 10_000).alias("q"),
+        F.approx_percentile("o_totalprice", 0.9, 10_000).alias("p"),
+    )
+    exact = t.orders.groupBy("o_orderstatus", "o_custkey").agg(F.lit(1)).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("exact"))
+    under = lambda bound: F.avg((F.col("o_totalprice") <= bound).cast("double"))
+    ranks = t.orders.join(got, "o_orderstatus").groupBy("o_orderstatus").agg(
+        F.first("about").alias("about"), *[under(F.col("q")[i]).alias(f"r{i}") for i in range(3)], under(F.col("p")).alias("r3"), F.count(F.lit(1)).alias("n")
+    )
+    near = lambda name, share: F.abs(F.col(name) - share) <= 0.001 + 2 / F.col("n")
+    return ranks.join(exact, "o_orderstatus").select(
+        "o_orderstatus",
+        (F.abs(F.col("about") - F.col("exact")) <= 0.1 * F.col("exact")).alias("customers"),
+        (near("r0", 0.25) & near("r1", 0.5) & near("r2", 0.75)).alias("quartiles"),
+        near("r3", 0.9).alias("p90"),
     )

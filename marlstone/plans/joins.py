@@ -26,13 +26,8 @@ def join_left_anti(t):
     return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
-@query("SELECT r_name, n_name FROM region, nation WHERE n_nationkey < 4")
-def join_cross(t):
-    return t.region.crossJoin(t.nation.filter("n_nationkey < 4")).select("r_name", "n_name")
-
-
 @query("SELECT r_name, n_name FROM region, nation")
-def join_cross_whole(t):
+def join_cross(t):
     return t.region.crossJoin(t.nation).select("r_name", "n_name")
 
 
@@ -42,12 +37,12 @@ def join_using(t):
 
 
 @query(
-    "SELECT coalesce(a.k, b.k) AS k, a.m, b.n FROM (SELECT c_nationkey AS k, count(*) AS m FROM customer WHERE c_nationkey < 15 GROUP BY 1) a "
-    "FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey > 8 GROUP BY 1) b ON a.k = b.k"
+    "SELECT coalesce(a.k, b.k) AS k, a.m, b.n FROM (SELECT nullif(c_nationkey, 3) AS k, count(*) AS m FROM customer GROUP BY 1) a "
+    "FULL JOIN (SELECT nullif(s_nationkey, 5) AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k"
 )
 def join_full_using(t):
-    a = t.customer.filter("c_nationkey < 15").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("m"))
-    b = t.supplier.filter("s_nationkey > 8").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    a = t.customer.groupBy(F.nullif("c_nationkey", F.lit(3)).alias("k")).agg(F.count(F.lit(1)).alias("m"))
+    b = t.supplier.groupBy(F.nullif("s_nationkey", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return a.join(b, ["k"], "full").select("k", "m", "n")
 
 
@@ -73,7 +68,7 @@ def join_or_condition(t):
     return t.supplier.join(t.nation, cond).select("s_suppkey", "n_nationkey")
 
 
-_NULLED = "(SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer WHERE c_custkey < 60)"
+_NULLED = "(SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer)"
 _NULLED2 = "(SELECT s_suppkey, nullif(s_nationkey, 3) AS k FROM supplier)"
 sql_query("join_null_keys", f"SELECT a.c_custkey, b.s_suppkey FROM {_NULLED} a JOIN {_NULLED2} b ON a.k = b.k")
 sql_query(
@@ -81,14 +76,6 @@ sql_query(
     f"SELECT a.c_custkey, b.s_suppkey FROM {_NULLED} a JOIN {_NULLED2} b ON a.k <=> b.k",
     f"SELECT a.c_custkey, b.s_suppkey FROM {_NULLED} a JOIN {_NULLED2} b ON a.k IS NOT DISTINCT FROM b.k",
 )
-# the same over all customers: pairs of hot null keys meet in the null-safe join
-_ALL_NULLED = "(SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer)"
-sql_query("join_null_keys_whole", f"SELECT a.c_custkey, b.s_suppkey FROM {_ALL_NULLED} a JOIN {_NULLED2} b ON a.k = b.k")
-sql_query(
-    "join_null_safe_whole",
-    f"SELECT a.c_custkey, b.s_suppkey FROM {_ALL_NULLED} a JOIN {_NULLED2} b ON a.k <=> b.k",
-    f"SELECT a.c_custkey, b.s_suppkey FROM {_ALL_NULLED} a JOIN {_NULLED2} b ON a.k IS NOT DISTINCT FROM b.k",
-)
 sql_query(
     "join_natural",
     "SELECT k, a, b FROM (SELECT n_regionkey AS k, n_name AS a FROM nation) x NATURAL JOIN (SELECT r_regionkey AS k, r_name AS b FROM region) y",
@@ -135,3 +122,17 @@ sql_query(
       LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey ASC NULLS FIRST LIMIT 2) x
     """,
 )
+
+
+@query("SELECT a.k AS left_k, b.k AS right_k, a.n_name, b.r_name FROM (SELECT n_regionkey AS k, n_name FROM nation) a JOIN (SELECT r_regionkey AS k, r_name FROM region) b ON a.k = b.k")
+def join_same_name_keys(t):
+    a = t.nation.select(F.col("n_regionkey").alias("k"), "n_name")
+    b = t.region.select(F.col("r_regionkey").alias("k"), "r_name")
+    joined = a.join(b, a["k"] == b["k"])  # both keys stay, told apart by their frames
+    return joined.select(a["k"].alias("left_k"), b["k"].alias("right_k"), "n_name", "r_name")
+
+
+@query("SELECT n_name, x.c_custkey FROM nation, LATERAL (SELECT c_custkey FROM customer WHERE c_nationkey = n_nationkey ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 2) x")
+def join_lateral_dataframe(t):
+    richest = t.customer.filter(F.col("c_nationkey") == F.col("n_nationkey").outer()).orderBy(F.desc_nulls_last("c_acctbal"), "c_custkey").limit(2)
+    return t.nation.lateralJoin(richest.select("c_custkey")).select("n_name", "c_custkey")

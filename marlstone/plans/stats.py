@@ -68,9 +68,15 @@ def stat_cov_corr(t):
     return t.spark.createDataFrame([pair], "cov double, cor double")
 
 
-@query("SELECT quantile_disc(o_totalprice, 0.25) AS q1, quantile_disc(o_totalprice, 0.5) AS q2, quantile_disc(o_totalprice, 0.75) AS q3 FROM orders")
+@query("SELECT * FROM (VALUES (0.25::DOUBLE, true), (0.5::DOUBLE, true), (0.75::DOUBLE, true)) v(share, within)")
 def stat_approx_quantile(t):
-    return t.spark.createDataFrame([tuple(t.orders.approxQuantile("o_totalprice", [0.25, 0.5, 0.75], 0.0))], "q1 double, q2 double, q3 double")
+    """Whether the quantiles have the ranks they should; an error of 0 would keep every value on the driver."""
+    shares, error = [0.25, 0.5, 0.75], 0.001
+    found = t.orders.approxQuantile("o_totalprice", shares, error)
+    ranks = [F.avg((F.col("o_totalprice") <= q).cast("double")).alias(f"r{i}") for i, q in enumerate(found)]
+    near = lambda i, s: F.struct(F.lit(s).alias("share"), (F.abs(F.col(f"r{i}") - s) <= error + 2 / F.col("n")).alias("within"))
+    row = t.orders.agg(*ranks, F.count(F.lit(1)).alias("n"))
+    return row.select(F.inline(F.array(*[near(i, s) for i, s in enumerate(shares)])))
 
 
 @query(

@@ -106,10 +106,11 @@ def tpch_q7(t):
     two = t.nation.filter(_c("n_name").isin("NATION_3", "NATION_7")).select("n_nationkey", "n_name")
     a, b = two.toDF("a_key", "supp_nation"), two.toDF("b_key", "cust_nation")
     supply, buyers = t.supplier.join(a, _c("s_nationkey") == _c("a_key")), t.customer.join(b, _c("c_nationkey") == _c("b_key"))
+    # buyers cut the orders before the lines meet them
+    bought = t.orders.join(buyers, _c("o_custkey") == _c("c_custkey")).select("o_orderkey", "cust_nation")
     joined = (
         t.lineitem.join(supply, _c("l_suppkey") == _c("s_suppkey"))
-        .join(t.orders, _c("o_orderkey") == _c("l_orderkey"))
-        .join(buyers, (_c("o_custkey") == _c("c_custkey")) & (_c("supp_nation") != _c("cust_nation")))
+        .join(bought, (_c("o_orderkey") == _c("l_orderkey")) & (_c("supp_nation") != _c("cust_nation")))
     )
     return joined.groupBy("supp_nation", "cust_nation", F.year("l_shipdate").cast("long").alias("l_year")).agg(_money(_revenue(), "revenue"))
 
@@ -123,10 +124,12 @@ def tpch_q7(t):
 def tpch_q8(t):
     region = t.nation.join(t.region.filter("r_name = 'AMERICA'"), _c("n_regionkey") == _c("r_regionkey")).select(_c("n_nationkey").alias("in_region"))
     seller = t.nation.select(_c("n_nationkey").alias("sold_by"), _c("n_name").alias("seller"))
+    # the region cuts the orders before the lines meet them
+    buyers = t.customer.join(region, _c("c_nationkey") == _c("in_region"))
+    bought = t.orders.join(buyers, _c("o_custkey") == _c("c_custkey")).select("o_orderkey", "o_orderdate")
     joined = (
         t.lineitem.join(t.part.filter("p_type = 'PROMO'"), _c("l_partkey") == _c("p_partkey"))
-        .join(t.orders, _c("l_orderkey") == _c("o_orderkey"))
-        .join(t.customer.join(region, _c("c_nationkey") == _c("in_region")), _c("o_custkey") == _c("c_custkey"))
+        .join(bought, _c("l_orderkey") == _c("o_orderkey"))
         .join(t.supplier.join(seller, _c("s_nationkey") == _c("sold_by")), _c("l_suppkey") == _c("s_suppkey"))
     )
     own = F.sum(F.when(_c("seller") == "NATION_5", _revenue()).otherwise(F.lit(0.0)))
@@ -231,11 +234,13 @@ def tpch_q19(t):
 def tpch_q21(t):
     # per order: its suppliers, and those with returned lines; no self-joins
     returned = F.when(_c("l_returnflag") == "R", _c("l_suppkey"))
-    orders = t.lineitem.groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("all_"), F.count_distinct(returned).alias("back"))
-    alone = orders.filter("all_ > 1 AND back = 1").withColumnRenamed("l_orderkey", "key")
-    lines = t.lineitem.filter("l_returnflag = 'R'").join(alone, _c("l_orderkey") == _c("key"))
-    lines = lines.join(t.orders.filter("o_orderstatus = 'F'"), _c("l_orderkey") == _c("o_orderkey"))
-    return lines.join(t.supplier, _c("l_suppkey") == _c("s_suppkey")).groupBy("s_name").agg(F.count(F.lit(1)).alias("numwait"))
+    # least and greatest tell one supplier from several, with map-side sums
+    orders = t.lineitem.groupBy("l_orderkey").agg(
+        F.min("l_suppkey").alias("a"), F.max("l_suppkey").alias("b"), F.min(returned).alias("x"), F.max(returned).alias("y"), F.count(returned).alias("lines")
+    )
+    alone = orders.filter("a < b AND x = y").join(t.orders.filter("o_orderstatus = 'F'"), _c("l_orderkey") == _c("o_orderkey"), "left_semi")
+    per = alone.groupBy("x").agg(F.sum("lines").alias("lines"))
+    return per.join(t.supplier, _c("x") == _c("s_suppkey")).groupBy("s_name").agg(F.sum("lines").alias("numwait"))
 
 
 @query(

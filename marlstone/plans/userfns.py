@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .registry import query
 
@@ -35,21 +36,23 @@ def udf_map_in_pandas(t):
     return t.orders.select("o_orderkey", "o_totalprice").mapInPandas(big, "o_orderkey long, o_totalprice double")
 
 
-@query("SELECT c_nationkey, c_custkey, CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS BIGINT) AS place FROM customer")
+@query("SELECT o_custkey, o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS BIGINT) AS place FROM orders")
 def udf_apply_in_pandas(t):
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(place=pdf.c_acctbal.rank(method="min", ascending=False).astype("int64"))[["c_nationkey", "c_custkey", "place"]]
+        return pdf.assign(place=pdf.o_totalprice.rank(method="min", ascending=False).astype("int64"))[["o_custkey", "o_orderkey", "place"]]
 
-    return t.customer.select("c_nationkey", "c_custkey", "c_acctbal").groupBy("c_nationkey").applyInPandas(place, "c_nationkey int, c_custkey long, place long")
+    # a group is the orders of one customer, which one task can hold
+    return t.orders.select("o_custkey", "o_orderkey", "o_totalprice").groupBy("o_custkey").applyInPandas(place, "o_custkey long, o_orderkey long, place long")
 
 
 @query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS customers, coalesce(b.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
 def udf_cogroup(t):
     def both(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"k": [key[0]], "customers": [len(a)], "suppliers": [len(b)]})
+        return pd.DataFrame({"k": [key[0]], "customers": [int(a.n.sum())], "suppliers": [int(b.n.sum())]})
 
-    left = t.customer.select(F.col("c_nationkey").alias("k")).groupBy("k")
-    right = t.supplier.select(F.col("s_nationkey").alias("k")).groupBy("k")
+    # groups are counted before they are sent, so that a key's rows need not meet
+    counted = lambda df, key: df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n")).groupBy("k")
+    left, right = counted(t.customer, "c_nationkey"), counted(t.supplier, "s_nationkey")
     return left.cogroup(right).applyInPandas(both, "k int, customers long, suppliers long")
 
 
@@ -65,6 +68,43 @@ def udf_table_function(t):
     return t.sql("SELECT n_nationkey, step FROM nation, LATERAL marlstone_steps(n_nationkey)")
 
 
+@query("SELECT n_nationkey, n_nationkey * 10 - n_regionkey AS v FROM nation")
+def udf_named_arguments(t):
+    t.spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION marlstone_less(a INT, b INT) RETURNS INT RETURN a * 10 - b")
+    return t.sql("SELECT n_nationkey, marlstone_less(b => n_regionkey, a => n_nationkey) AS v FROM nation")
+
+
+@query("SELECT range AS id, range * range AS square FROM range(100)")
+def udf_data_source(t):
+    """A data source in Python: numbers and their squares, read by several tasks."""
+
+    # classes of this function travel with it, so workers need not import this module
+    class Reader(DataSourceReader):
+        def __init__(self, n: int):
+            self.n = n
+
+        def partitions(self) -> list[InputPartition]:
+            return [InputPartition(k) for k in range(4)]
+
+        def read(self, partition: InputPartition):
+            for i in range(partition.value, self.n, 4):
+                yield i, i * i
+
+    class Squares(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "marlstone_squares"
+
+        def schema(self) -> str:
+            return "id long, square long"
+
+        def reader(self, schema) -> DataSourceReader:
+            return Reader(int(self.options["n"]))
+
+    t.spark.dataSource.register(Squares)
+    return t.spark.read.format("marlstone_squares").option("n", "100").load()
+
+
 @query("SELECT n_nationkey, n_nationkey * 2 + 1 AS v FROM nation")
 def udf_sql_function(t):
     t.spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION marlstone_odd(x INT) RETURNS INT RETURN x * 2 + 1")
@@ -73,5 +113,9 @@ def udf_sql_function(t):
 
 @query("SELECT upper(r_name) AS a, r_name || '!' AS b FROM region")
 def udf_call_by_name(t):
-    t.spark.udf.register("marlstone_loud", lambda s: None if s is None else s + "!", "string")
+    @F.pandas_udf("string")
+    def loud(s: pd.Series) -> pd.Series:
+        return s + "!"
+
+    t.spark.udf.register("marlstone_loud", loud)
     return t.region.select(F.call_function("upper", "r_name").alias("a"), F.call_function("marlstone_loud", F.col("r_name")).alias("b"))

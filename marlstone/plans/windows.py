@@ -11,8 +11,8 @@ from .registry import query, sql_query
 _ORDER = "PARTITION BY o_custkey ORDER BY o_totalprice ASC NULLS FIRST, o_orderkey ASC NULLS FIRST"
 for _name, _call in {
     "row_number": "CAST(row_number() OVER ({w}) AS BIGINT)",
-    "rank": "CAST(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority ASC NULLS FIRST) AS BIGINT)",
-    "dense_rank": "CAST(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority ASC NULLS FIRST) AS BIGINT)",
+    "rank": "CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority ASC NULLS FIRST) AS BIGINT)",
+    "dense_rank": "CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority ASC NULLS FIRST) AS BIGINT)",
     "percent_rank": "round(percent_rank() OVER ({w}), 10)",
     "cume_dist": "round(cume_dist() OVER ({w}), 10)",
     "ntile": "CAST(ntile(4) OVER ({w}) AS BIGINT)",
@@ -26,10 +26,24 @@ for _name, _call in {
     "moving_average": "round(avg(o_totalprice) OVER ({w} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4)",
     "range_frame": "count(*) OVER (PARTITION BY o_custkey ORDER BY o_totalprice ASC NULLS FIRST RANGE BETWEEN 50000 PRECEDING AND CURRENT ROW)",
     "whole_partition": "max(o_totalprice) OVER (PARTITION BY o_custkey)",
-    "default_frame": "count(*) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority ASC NULLS FIRST)",
+    "default_frame": "count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority ASC NULLS FIRST)",
 }.items():
     sql_query(f"window_{_name}", f"SELECT o_orderkey, {_call.format(w=_ORDER)} AS v FROM orders")
 
+_NULLED = "(SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS v FROM orders) x"
+_BY_ORDER = "PARTITION BY o_custkey ORDER BY o_orderkey ASC NULLS FIRST"
+sql_query(
+    "window_ignore_nulls_offsets",
+    f"SELECT o_orderkey, lag(v, 1) IGNORE NULLS OVER ({_BY_ORDER}) AS before, lead(v, 1) IGNORE NULLS OVER ({_BY_ORDER}) AS after, "
+    f"nth_value(v, 2) IGNORE NULLS OVER ({_BY_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM {_NULLED}",
+    f"SELECT o_orderkey, lag(v, 1 IGNORE NULLS) OVER ({_BY_ORDER}) AS before, lead(v, 1 IGNORE NULLS) OVER ({_BY_ORDER}) AS after, "
+    f"nth_value(v, 2 IGNORE NULLS) OVER ({_BY_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM {_NULLED}",
+)
+sql_query(
+    "window_decimal",
+    "SELECT l_orderkey, l_linenumber, CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ASC NULLS FIRST) AS DECIMAL(25,2)) AS upto, "
+    "CAST(sum(CAST(l_quantity AS BIGINT)) OVER (PARTITION BY l_orderkey) AS BIGINT) AS whole FROM lineitem",
+)
 sql_query(
     "window_named",
     "SELECT o_orderkey, CAST(rank() OVER w AS BIGINT) AS r, min(o_totalprice) OVER w AS m FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ASC NULLS FIRST)",
