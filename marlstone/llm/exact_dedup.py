@@ -248,16 +248,16 @@ def _shared_keys(entries: DataFrame) -> np.ndarray:
     return bloom.build(shared.select(F.xxhash64("e_key").alias("h")), bloom.log2_bits(shared.count()))
 
 
-def _keyed(entries: DataFrame, bits: np.ndarray, shared: bool) -> DataFrame:
-    """The entries whose key other entries may have, or those where none has."""
+def _keyed(rows: DataFrame, column: str, bits: np.ndarray, inside: bool) -> DataFrame:
+    """The rows whose long column may be in the filter, or those where it is not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 found = bloom.test(bits, batch.column("h").to_numpy())
-                yield batch.remove_column(batch.schema.get_field_index("h")).filter(pa.array(found == shared))
+                yield batch.remove_column(batch.schema.get_field_index("h")).filter(pa.array(found == inside))
 
-    return entries.select("*", F.xxhash64("e_key").alias("h")).mapInArrow(run, entries.schema)
+    return rows.select("*", F.xxhash64(column).alias("h")).mapInArrow(run, rows.schema)
 
 
 def build_index(
@@ -277,11 +277,11 @@ def build_index(
     bits = _shared_keys(entries)
     light = entries.select("e_key", "e_entry", "e_chars", "e_best", F.size("e_ids").cast("long").alias("e_count"), F.col(text).cast("binary").alias("text"))
     placed = lambda rows: rows.select("*", slot.alias("slot")).join(F.broadcast(directory), "slot").drop("slot")  # noqa: E731 -- at most 2**MAX_DEPTH slots
-    alone = placed(_keyed(light.drop("text"), bits, False)).select(
+    alone = placed(_keyed(light.drop("text"), "e_key", bits, False)).select(
         F.col("bucket").alias("x_bucket"), F.col("e_key").alias("x_key"), F.lit(0).alias("x_chain"), F.col("e_entry").alias("x_entry"),
         F.col("e_entry").alias("x_keep_entry"), F.col("e_best").alias("x_keep_id"), F.col("e_count").alias("x_size"),
     )
-    shared = placed(_keyed(light, bits, True)).withColumn("keep_entry", F.col("e_entry")).withColumn("slice", F.pmod(F.shiftright("e_entry", 40), F.lit(slices_)))
+    shared = placed(_keyed(light, "e_key", bits, True)).withColumn("keep_entry", F.col("e_entry")).withColumn("slice", F.pmod(F.shiftright("e_entry", 40), F.lit(slices_)))
     links, chains = _chained(shared, ["bucket", "slice"], True, "dedup-slices")
     leaders, resolved = _chained(
         chains.select("bucket", "e_key", F.col("leader").alias("e_entry"), "keep_entry", "e_chars", "e_best", "e_count", "text"),
@@ -314,8 +314,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     renamed = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     text, id_col = f"c{docs.columns.index('text')}", f"c{docs.columns.index('doc_id')}"
     entries, _, resolved = build_index(renamed, text, id_col)
-    stay = resolved.filter("x_entry = x_keep_entry").select("x_entry")
-    kept = entries.join(stay, F.col("e_entry") == F.col("x_entry"), "left_semi")
+    # texts are shuffled only where a Bloom filter (8 MB at most) says that they may go
+    gone = staged(resolved.filter("x_entry <> x_keep_entry").select("x_entry"), "dedup-gone")
+    bits = bloom.build(gone.select(F.xxhash64("x_entry").alias("h")), bloom.log2_bits(gone.count()))
+    rows = entries.select("e_entry", *[f"c{i}" for i in range(len(docs.columns))])
+    left = _keyed(rows, "e_entry", bits, True).join(gone, F.col("e_entry") == F.col("x_entry"), "left_anti")
+    kept = _keyed(rows, "e_entry", bits, False).union(left)
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
