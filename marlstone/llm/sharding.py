@@ -142,13 +142,16 @@ def _weighed() -> list[Column]:
     return [F.sum("size").alias("w"), (F.min("t") < F.max("t")).alias("several")]
 
 
-def _crossings(bins: DataFrame, goals: DataFrame) -> list:
-    """For each node of ``goals`` its bin in which the bytes below reach the goal.
+def _crossings(bins: DataFrame, goals: dict[int, tuple[int, float]]) -> list:
+    """For each node its bin along a dimension in which the bytes below reach the goal.
 
-    ``bins`` has node, dim, digit and w; a node has 2**DIGIT bins at most.
+    ``goals`` has the dimension and the goal of each node; ``bins`` has node, dim,
+    digit and w, 2**DIGIT bins for a node and dimension at most.
     """
+    asked = " OR ".join(f"(node = {n} AND dim = {dim})" for n, (dim, _) in goals.items())
+    goal = "CASE node " + " ".join(f"WHEN {n} THEN {g!r}D" for n, (_, g) in goals.items()) + " END"
     upto = Window.partitionBy("node").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
-    found = bins.join(F.broadcast(goals), ["node", "dim"]).withColumn("upto", F.sum("w").over(upto)).filter("upto >= goal")
+    found = bins.filter(asked).withColumn("upto", F.sum("w").over(upto)).filter(F.col("upto") >= F.expr(goal))
     return found.groupBy("node").agg(F.min_by(F.struct("digit", "w", "upto", "several"), "digit").alias("x")).select("node", "x.*").collect()
 
 
@@ -167,7 +170,7 @@ def _level(rows: DataFrame, place: Column, full: dict[str, int]) -> tuple[DataFr
     return bins, found
 
 
-def _medians(spark: SparkSession, rows: DataFrame, place: Column, bins: DataFrame, dims: dict[int, str], goals: dict[int, float], leaf: float) -> dict[int, int]:
+def _medians(rows: DataFrame, place: Column, bins: DataFrame, dims: dict[int, str], goals: dict[int, float], leaf: float) -> dict[int, int]:
     """For each node the key at which its rows below weigh about its goal."""
     keys: dict[int, int] = {}
     prefix, passed, open_nodes = dict.fromkeys(dims, 0), dict.fromkeys(dims, 0.0), set(dims)
@@ -182,8 +185,8 @@ def _medians(spark: SparkSession, rows: DataFrame, place: Column, bins: DataFram
             digit = "CASE node " + " ".join(f"WHEN {n} THEN {_digit(dims[n], start)}" for n in nodes) + " END"
             bins = rows.withColumn("node", place).filter(inside).groupBy("node", F.expr(digit).alias("digit")).agg(*_weighed())
             bins = bins.withColumn("dim", F.lit(0))
-        wanted = [(n, 0 if start else DIMENSIONS.index(dims[n]), float(goals[n] - passed[n])) for n in sorted(open_nodes)]
-        crossing = _crossings(bins, spark.createDataFrame(wanted, "node int, dim int, goal double"))
+        wanted = {n: (0 if start else DIMENSIONS.index(dims[n]), float(goals[n] - passed[n])) for n in sorted(open_nodes)}
+        crossing = _crossings(bins, wanted)
         for row in crossing:
             n = row.node
             low, before = prefix[n] + row.digit * step, passed[n] + row.upto - row.w
@@ -216,7 +219,7 @@ def build_tree(rows: DataFrame, shards: int | None = SHARDS, target_bytes: int |
                 break
         dims = {n.name: stats[n.name]["dim"] for n in front if n.name in stats}
         goals = {n.name: stats[n.name]["w"] * (n.leaves - n.leaves // 2) / n.leaves for n in front if n.name in stats}
-        keys = _medians(rows.sparkSession, rows, place, bins, dims, goals, leaf)
+        keys = _medians(rows, place, bins, dims, goals, leaf)
         after = []
         for n in front:
             if n.name not in keys:

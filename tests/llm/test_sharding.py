@@ -1,6 +1,7 @@
 import zlib
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import sharding as S
@@ -96,7 +97,8 @@ def test_extreme_ids(spark, docs_of):
     assert {r.shard for r in got} <= set(range(4)) and len({(r.shard, r.slot) for r in got}) == len(rows)
 
 
-def test_native(spark, sf):
+def test_native(spark, sf, monkeypatch):
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *_: pytest.fail("rows of Python would come as an RDD"))
     text = S.query(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in text and "Pandas" not in text and "Arrow" not in text
 
