@@ -134,20 +134,20 @@ def mixed(docs: DataFrame) -> DataFrame:
     and reruns agree.
     """
     runs = systematic_copies(docs, "doc_id", "source", word_count("text")).select(
-        F.col("__id"), F.col("__g"), F.col("__size"), "__start", "rate", "shift"
+        source_key("__id").alias("__k2"), F.col("__g").alias("__g2"), F.col("__size").alias("__size2"), "__start", "rate", "shift"
     )
     rows = docs.select(
         F.struct(*docs.columns).alias("__row"),
-        F.col("doc_id").alias("__id"),
+        source_key("doc_id").alias("__k"),
         source_key("source").alias("__g"),
         word_count("text").alias("__size"),
     )
-    same = Window.partitionBy("__id", "__g", "__size").orderBy(F.xxhash64("__row.text"), F.xxhash64("__row"))
-    joined = rows.join(
-        runs.withColumnsRenamed({"__id": "__id2", "__g": "__g2", "__size": "__size2"}),
-        F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__g") == F.col("__g2")) & (F.col("__size") == F.col("__size2")),
+    # the join has the window's keys, so the texts are shuffled and sorted once
+    same = Window.partitionBy("__k", "__g", "__size").orderBy(F.xxhash64("__row.text"), F.xxhash64("__row"))
+    joined = rows.withColumn("__at", F.row_number().over(same) - 1).join(
+        runs, (F.col("__k") == F.col("__k2")) & (F.col("__g") == F.col("__g2")) & (F.col("__size") == F.col("__size2"))
     )
-    number = F.col("__start") + F.row_number().over(same) - 1
+    number = F.col("__start") + F.col("__at")
     return (
         joined.withColumn("__n", copies_of(number))
         .filter("__n > 0")
