@@ -66,3 +66,17 @@ def test_mixed_rows_repeat_as_taken(spark, docs_of, odd_texts):
     copies = sum(r["copies"] for r in mixed(docs))
     out = mixing.mixed(docs)
     assert out.columns == docs.columns and out.count() == copies
+
+
+def test_each_row_is_taken_as_often_as_numbered(spark, docs_of):
+    ids, sources = [None, 1, 1, 2, 3], ["a", None, "b"]
+    docs = docs_of([(ids[i % 5], f"w{i % 4} " * (i % 7), sources[i % 3]) for i in range(300)])
+    want, found = defaultdict(int), defaultdict(int)
+    for r in mixed(docs):
+        want[r["__id"], r["__g"], r["__size"]] += r["copies"]
+    for r in mixing.mixed(docs).collect():
+        found["" if r["doc_id"] is None else r["doc_id"], r["source"], words(r["text"])] += 1
+    named = {("" if k[0] is None else k[0], None if k[1] == "1" else k[1][1:], k[2]): n for k, n in want.items() if n}
+    assert found == named and any(k[0] == "" for k in found)
+    again = mixing.mixed(docs_of([(ids[i % 5], f"w{i % 4} " * (i % 7), sources[i % 3]) for i in range(300)], 7))
+    assert sorted(map(str, again.collect())) == sorted(map(str, mixing.mixed(docs).collect()))
