@@ -16,6 +16,12 @@ together again from their pieces.  The bytes of those pieces are read a second
 time and found by their digest, not by a row number: which byte ranges a scan
 makes depends on how many cores are alive, and may differ between two scans.
 
+Candidates and byte ranges grow with the input, and names of files compress to
+so little that Spark, which goes by the size of the staged files, would
+broadcast tables a hundred times over its threshold.  Their joins are therefore
+merge joins by hint.  Only shared digests are left to the threshold: as hex of
+a hash they take three times their stored size at most.
+
 Defined results: null html is an empty payload; a null page_id is the smallest;
 rows that repeat page_id and payload are all responses, or all revisits; the
 records after a damaged one are unreachable and dropped; an empty table writes
@@ -192,20 +198,20 @@ def reachable_entries(candidates: DataFrame, most: int = 40) -> DataFrame:
     """
     exits = candidates.select("file", F.col("leave").alias("offset")).distinct()
     starts = candidates.filter("offset = 0").select("file", "offset")
-    jump = candidates.join(exits.union(starts).distinct(), ["file", "offset"]).select("file", F.col("offset").alias("at"), F.col("leave").alias("to"))
+    jump = candidates.join(exits.union(starts).distinct().hint("merge"), ["file", "offset"]).select("file", F.col("offset").alias("at"), F.col("leave").alias("to"))
     jump = staged(jump, "warc-jumps")
     entries = jump.select("file", "at")
     reach = jump.filter("at = 0").select("file", "at")
     known = reach.count()
     for _ in range(most):
-        landed = reach.join(jump, ["file", "at"]).select("file", F.col("to").alias("at")).join(entries, ["file", "at"], "left_semi")
+        landed = reach.join(jump.hint("merge"), ["file", "at"]).select("file", F.col("to").alias("at")).join(entries.hint("merge"), ["file", "at"], "left_semi")
         reach = staged(reach.union(landed).distinct(), "warc-reach")
         now = reach.count()
         if now == known:
             break
         known = now
         onward = jump.select("file", F.col("at").alias("to"), F.col("to").alias("far"))
-        jump = jump.join(onward, ["file", "to"]).select("file", "at", F.col("far").alias("to"))
+        jump = jump.join(onward.hint("merge"), ["file", "to"]).select("file", "at", F.col("far").alias("to"))
         jump = staged(jump, "warc-jumps")
     return reach
 
@@ -227,19 +233,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ranges = pieces.groupBy("file", "block").agg(F.sum(F.col("length") + len(MAGIC)).alias("n"))
     ranges = ranges.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    light = pieces.select("file", "block", "seq", "length", "head_bytes", "content").join(ranges, ["file", "block"])
+    light = pieces.select("file", "block", "seq", "length", "head_bytes", "content").join(ranges.hint("merge"), ["file", "block"])
     candidates = staged(
         light.groupBy("file", "block").applyInPandas(_chain, "file string, block long, seq long, offset long, succ long, leave long"),
         "warc-candidates",
     )
     entries = reachable_entries(candidates).select("file", F.col("at").alias("offset"), F.lit(True).alias("entry"))
-    flagged = candidates.join(entries, ["file", "offset"], "left").select(
+    flagged = candidates.join(entries.hint("merge"), ["file", "offset"], "left").select(
         "file", "block", "seq", "offset", "succ", F.coalesce("entry", F.lit(False)).alias("entry")
     )
     placed = flagged.groupBy("file", "block").applyInPandas(_reached, "file string, block long, seq long, offset long, succ long, reached boolean")
     placed = staged(placed, "warc-placed")
 
-    records = placed.filter("reached").join(pieces, ["file", "block", "seq"])
+    records = placed.filter("reached").hint("merge").join(pieces, ["file", "block", "seq"])
     cut = staged(records.filter("digest IS NULL").select("file", "offset"), "warc-cut")
     done = records.filter("digest IS NOT NULL").select("file", "offset", "head", "stated", "bytes", "digest")
     if cut.limit(1).count():
@@ -259,8 +265,8 @@ def _mended(spark: SparkSession, path: str, placed: DataFrame, pieces: DataFrame
     """Records whose payload holds the magic, put together from their pieces."""
     upto = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     owned = placed.withColumn("of", F.last(F.when(F.col("reached"), F.col("offset")), ignorenulls=True).over(upto))
-    owned = owned.join(cut.withColumnRenamed("offset", "of"), ["file", "of"]).select("file", "block", "seq", "offset", "of")
-    owned = staged(owned.join(pieces.select("file", "block", "seq", "id"), ["file", "block", "seq"]).select("file", "of", "offset", "id"), "warc-owned")
+    owned = owned.join(cut.withColumnRenamed("offset", "of").hint("merge"), ["file", "of"]).select("file", "block", "seq", "offset", "of")
+    owned = staged(owned.hint("merge").join(pieces.select("file", "block", "seq", "id"), ["file", "block", "seq"]).select("file", "of", "offset", "id"), "warc-owned")
     ids = owned.select("id").distinct()
     bits = bloom.build(ids.select(F.xxhash64("id").alias("h")), bloom.log2_bits(ids.count()))
 
@@ -273,7 +279,7 @@ def _mended(spark: SparkSession, path: str, placed: DataFrame, pieces: DataFrame
     again = again.mapInArrow(wanted, "id binary, value string")
     # pieces with one digest have the same bytes, so any of them will do
     values = staged(again.groupBy("id").agg(F.first("value").alias("value")), "warc-values")
-    joined = owned.join(values, "id").groupBy("file", "of").agg(
+    joined = owned.hint("merge").join(values, "id").groupBy("file", "of").agg(
         F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("parts")  # one record's own pieces
     )
     value = F.array_join(F.transform("parts", lambda p: p["value"]), MAGIC)
