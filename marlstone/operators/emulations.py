@@ -39,6 +39,39 @@ def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: float) -
     return joined.filter(F.abs(F.col(a) - F.col(b)) <= width).drop("__cell")
 
 
+#: Rows of a left and of a right piece in ``block_join``, and pairs that a task makes.
+LEFT_PIECE, RIGHT_PIECE, TASK_PAIRS = 8192, 512, 8_000_000
+
+
+def block_join(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str) -> DataFrame:
+    """Inner join on a key with few values, so that pairs far outnumber the rows.
+
+    A plain join sends each value to one task and sizes its tasks by the bytes
+    shuffled, not by the pairs.  Here each value's rows are dealt by a hash of
+    their id into pieces of about ``LEFT_PIECE`` and ``RIGHT_PIECE`` rows; each
+    left piece meets each right one, kept as an array, under a key of its own.
+    For one pair the shuffles move 1/512 + 1/8192 rows, and the number of tasks
+    follows the pairs, which are counted first.  Ids that repeat only make a
+    piece larger; they are not returned.  The sizes of the pieces are broadcast,
+    one row for each value of the key.
+    """
+    counts = [df.groupBy(key).agg(F.count(F.lit(1)).alias(n)) for df, n in ((left, "__n"), (right, "__m"))]
+    both = counts[0].join(counts[1], key)
+    pairs = both.agg(F.sum(F.col("__n").cast("double") * F.col("__m"))).first()[0] or 0
+    tasks = min(int(pairs // TASK_PAIRS) + 1, 100_000)
+    pieces = F.broadcast(both.select(key, F.ceil(F.col("__n") / LEFT_PIECE).alias("__lefts"), F.ceil(F.col("__m") / RIGHT_PIECE).alias("__rights")))
+    number = lambda column, of: F.pmod(F.xxhash64(column), F.col(of))
+    each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    rows = left.join(pieces, key).select(*[c for c in left.columns if c != left_id], number(left_id, "__lefts").alias("__l"), each("__rights").alias("__r"))
+    kept = F.struct(*[c for c in right.columns if c not in (key, right_id)])
+    arrays = right.join(pieces, key).groupBy(key, "__lefts", number(right_id, "__rights").alias("__r")).agg(F.collect_list(kept).alias("__kept"))
+    arrays = arrays.select(key, "__r", "__kept", each("__lefts").alias("__l"))
+    on = [key, "__l", "__r"]
+    # a merge join also puts a piece's rows next to each other, which files compress
+    joined = rows.repartition(tasks, *on).join(arrays.repartition(tasks, *on).hint("merge"), on)
+    return joined.select(*[c for c in left.columns if c != left_id], F.inline("__kept"))
+
+
 def qualify(df: DataFrame, condition: Column | str) -> DataFrame:
     """QUALIFY: filter on window expressions without keeping them."""
     test = F.expr(condition) if isinstance(condition, str) else condition

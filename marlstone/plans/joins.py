@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.emulations import asof_join, band_join
+from ..operators.emulations import asof_join, band_join, block_join
 from .registry import query, sql_query
 
 _JOIN = "SELECT c.c_custkey, c.c_name, o.o_orderkey, o.o_totalprice FROM customer c {} JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c.c_custkey = o.o_custkey"
@@ -33,7 +33,10 @@ def join_cross(t):
 
 @query("SELECT k, c_name, s_name FROM (SELECT c_nationkey AS k, c_name FROM customer) JOIN (SELECT s_nationkey AS k, s_name FROM supplier) USING (k)")
 def join_using(t):
-    return t.customer.select(F.col("c_nationkey").alias("k"), "c_name").join(t.supplier.select(F.col("s_nationkey").alias("k"), "s_name"), ["k"])
+    customers = t.customer.select(F.col("c_nationkey").alias("k"), "c_custkey", "c_name")
+    suppliers = t.supplier.select(F.col("s_nationkey").alias("k"), "s_suppkey", "s_name")
+    # every customer meets every supplier of the same of 25 nations
+    return block_join(customers, suppliers, "k", "c_custkey", "s_suppkey")
 
 
 @query(

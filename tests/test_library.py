@@ -1,13 +1,15 @@
 """Emulated operators, sources, sinks, catalog, streaming and plan shapes."""
 
 import datetime as dt
+from collections import Counter
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from marlstone.functions.catalog import exists, function
-from marlstone.operators.emulations import asof_join, band_join, keep_first, qualify, sessions, top_k
+from marlstone.operators import emulations
+from marlstone.operators.emulations import asof_join, band_join, block_join, keep_first, qualify, sessions, top_k
 from marlstone.plans.catalog import QUERIES, flagship
 from marlstone.sources import files
 from marlstone.sources.tables import Tables
@@ -33,6 +35,21 @@ def test_band_join_equals_nested_loop(spark):
     assert "NestedLoop" not in plan(band_join(a, b, "x", "y", 1.5)) and "Cartesian" not in plan(band_join(a, b, "x", "y", 1.5))
 
 
+def test_block_join_equals_a_plain_join(spark, monkeypatch):
+    for name, small in (("LEFT_PIECE", 16), ("RIGHT_PIECE", 3), ("TASK_PAIRS", 100)):
+        monkeypatch.setattr(emulations, name, small)
+    # a hot key, keys of one side only, null keys, null values, equal rows, equal and null ids
+    left = [(0, i, f"c{i % 90}") for i in range(200)] + [(1, 7, None), (1, 7, None), (2, 8, "x"), (None, 9, "y"), (4, None, "z")]
+    right = [(0, i, f"s{i % 20}", i) for i in range(31)] + [(1, 1, None, 5), (3, 2, "x", 6), (None, 3, "y", 7), (4, None, "z", None), (4, None, "z", None)]
+    a, b = spark.createDataFrame(left, "k int, a int, name string"), spark.createDataFrame(right, "k int, b int, title string, v int")
+    got, want = block_join(a, b, "k", "a", "b"), a.drop("a").join(b.drop("b"), "k")
+    assert got.schema.simpleString() == want.schema.simpleString() == "struct<k:int,name:string,title:string,v:int>"
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 20 and max(tasks) < sum(tasks) / 5
+    assert block_join(a.limit(0), b, "k", "a", "b").count() == block_join(a, b.limit(0), "k", "a", "b").count() == 0
+
+
 def test_qualify_keep_first_and_top_k(spark):
     df = spark.createDataFrame([(1, 3), (1, 1), (1, 2), (2, 5)], "k int, v int")
     assert sorted(map(tuple, keep_first(df, ["k"], [F.col("v")]).collect())) == [(1, 1), (2, 5)]

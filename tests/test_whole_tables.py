@@ -2,8 +2,10 @@
 
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from marlstone.plans.catalog import QUERIES
 
@@ -61,3 +63,17 @@ def test_offset_leaves_rows_and_cross_join_takes_all_nations(spark, sf):
     assert want and [r.o_orderkey for r in QUERIES["sort_offset"](spark, sf).collect()] == want
     pairs = {(r, n) for (r,) in read(sf, "region", "r_name") for (n,) in read(sf, "nation", "n_name")}
     assert {tuple(r) for r in QUERIES["join_cross"](spark, sf).select("r_name", "n_name").collect()} == pairs
+
+
+def test_join_using_spreads_the_pairs_of_one_nation(spark, tmp_path):
+    for name, n in (("customer", 10_000), ("supplier", 1_500)):
+        of = name[0]
+        ids = range(n)
+        table = pa.table({f"{of}_{'cust' if of == 'c' else 'supp'}key": pa.array(ids, pa.int64()), f"{of}_name": [f"{name}{i}" for i in ids], f"{of}_nationkey": pa.array([3] * n, pa.int32())})
+        pq.write_table(table, tmp_path / f"{name}.parquet")
+    found = QUERIES["join_using"](spark, str(tmp_path))
+    each = found.groupBy("c_name").count().groupBy("count").agg(F.count(F.lit(1))).collect()
+    assert list(map(tuple, each)) == [(1_500, 10_000)]
+    # all were one task's work
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 1 and max(tasks) < 10_000_000
